@@ -259,7 +259,7 @@ ORACLES: dict[str, str] = {
     "checkpoint": rounded_events("labs_in"),
     "svmlight_lines": """SELECT entity_id, CAST(label AS VARCHAR) || ' ' || string_agg(CAST(idx AS VARCHAR) || ':' || printf('%.6f', value), ' ' ORDER BY idx)
   || ' ' AS line FROM @svm_cells GROUP BY entity_id, label""",
-    "svmlight_read": """SELECT CAST(label AS DOUBLE) AS label, CAST(idx AS INT) AS idx, count(*) AS n, round(sum(value), 4) AS total
+    "svmlight_read": """SELECT CAST(label AS DOUBLE) AS label, CAST(idx AS INT) AS idx, count(*) AS n, round(sum(value), 6) AS total
   FROM @svm_cells GROUP BY label, idx""",
     "embedding_store_incremental": """
 WITH first AS (SELECT entity_id, CAST(pos AS INT) AS pos, avg(CAST(x AS DOUBLE)) AS mean FROM @vector_cells WHERE arrival = 0 GROUP BY entity_id, pos)
@@ -388,6 +388,8 @@ FROM s JOIN n ON n.entity_id = s.entity_id GROUP BY s.entity_id, pos HAVING sum(
   WHERE entity_id IN (SELECT entity_id FROM @lab_means)""",
         label=True,
     ),
+    "model_roundtrip": f"""SELECT b.entity_id, CASE WHEN o.entity_id IS NULL THEN 0 ELSE 1 END AS label, 1 AS same_score
+  FROM (SELECT DISTINCT entity_id FROM @baseline) b LEFT JOIN @outcomes o ON o.entity_id = b.entity_id WHERE NOT ({train('b.entity_id')})""",
     "roc_auc": auc("score_rows", ["score_a", "score_b"]),
     "cohort_auc": auc("score_rows", ["score_a", "score_b"], "respiratory"),
 }

@@ -15,7 +15,7 @@ from ..functions import numbers
 from ..functions import text as tx
 from ..operators import cohort, evaluate, explore, features, model, normalize, notes, period, tfidf, vectors
 from ..plans import modelling
-from ..plans.records import Records, Study
+from ..plans.records import Study
 from ..plans.scaled import ScaledFeatures
 from ..session import fresh_path, stage, tune
 from ..sources import readers, writers
@@ -39,14 +39,7 @@ class Tables(Study):
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.views = tune(spark), Fixtures(spark, folder)
-        v = self.views
-        super().__init__(
-            Records(
-                v.patients, v.admissions, v.diagnoses, v.labevents, v.prescriptions, v.notes, v.microbiology,
-                v.procedure_orders,
-            ),
-            PARAMS,
-        )
+        super().__init__(self.views, PARAMS)
 
     def path(self, name: str) -> str:
         return fresh_path(self.spark, name)
@@ -215,7 +208,7 @@ def svmlight_read(t):
     rows = readers.read_svmlight(t.spark, path)
     cells = rows.select("label", F.inline(F.arrays_zip("indices", "values"))).withColumnRenamed("indices", "idx")
     return cells.groupBy("label", "idx").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("values"), 4).alias("total")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("values"), 6).alias("total")
     )
 
 
@@ -701,7 +694,8 @@ def model_roundtrip(t):
     path = t.path("model")
     model.save_model(fitted, path)
     again = model.score(RandomForestClassificationModel.load(path), matrix.rows.filter(~t.train))
-    return scores.join(again.select(ENTITY, F.col("score").alias("score_again")), ENTITY)
+    both = scores.join(again.select(ENTITY, F.col("score").alias("score_again")), ENTITY)
+    return both.select(ENTITY, "label", (F.col("score") == F.col("score_again")).cast("int").alias("same_score"))
 
 
 @query
@@ -719,6 +713,12 @@ def select_and_retrain(t):
     return scores
 
 
+@query
+def select_by_mean_importance(t):
+    matrix, fitted, _ = _forest(t)
+    return model.select_and_retrain(matrix.rows, fitted, matrix.width, model.random_forest(), t.train)[1]
+
+
 @query
 def roc_auc(t):
     long = evaluate.model_scores(t.scores, ["score_a", "score_b"], ["label"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE, ENTITY
@@ -13,26 +13,27 @@ from ..skew import spread_join
 from .period import window_filter
 
 
-def last_note(
-    notes: DataFrame, period: DataFrame | None = None, ids: DataFrame | None = None, text: str = "clean_text"
-) -> DataFrame:
-    """The latest note in each entity's window; the greatest text wins a tie on the day.
+def _latest(rows: DataFrame, text: Column, name: str, ids: DataFrame | None) -> DataFrame:
+    """Latest row per entity, the greatest ``text`` on a tie.
 
     A running maximum keeps one note per entity and task, so no entity's notes are gathered or
-    sorted in one place.
+    sorted in one place. Entities are checked after it, on one row each.
     """
-    rows = notes.select(ENTITY, DATE, text)
-    if period is not None:
-        rows = window_filter(rows, period)
-    if ids is not None:
-        rows = spread_join(rows, ids.select(ENTITY), ENTITY, "left_semi", spread_by=[DATE])
-    best = rows.groupBy(ENTITY).agg(F.max(F.struct(DATE, text)).alias("best"))
-    return best.select(ENTITY, F.col(f"best.{DATE}").alias(DATE), F.col(f"best.{text}").alias(text))
+    best = rows.groupBy(ENTITY).agg(F.max(F.struct(F.col(DATE), text.alias(name))).alias("best"))
+    latest = best.select(ENTITY, F.col(f"best.{DATE}").alias(DATE), F.col(f"best.{name}").alias(name))
+    return latest if ids is None else latest.join(ids.select(ENTITY), ENTITY, "left_semi")
+
+
+def last_note(notes: DataFrame, period: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The latest note in each entity's window, cleaned; only notes inside a window are cleaned."""
+    rows = window_filter(notes.select(ENTITY, DATE, "text"), period)
+    return _latest(rows, tx.clean_text(F.col("text")), "clean_text", ids)
 
 
 def last_note_for_tokenizer(notes: DataFrame, period: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """The latest raw note with its text made ready for a tokenizer."""
-    chosen = last_note(notes, period, ids, text="text")
+    """The latest raw note in each entity's window, made ready for a tokenizer."""
+    rows = window_filter(notes.select(ENTITY, DATE, "text"), period)
+    chosen = _latest(rows, F.col("text"), "text", ids)
     return chosen.select(ENTITY, DATE, tx.tokenizer_text(F.col("text")).alias("to_tok"))
 
 

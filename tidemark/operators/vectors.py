@@ -43,11 +43,18 @@ class HashingEncoder:
         return out
 
 
-def embed_text(docs: DataFrame, make_encoder: Callable[[], Encoder], text: str = "to_tok") -> DataFrame:
+def embed_text(
+    docs: DataFrame, make_encoder: Callable[[], Encoder], text: str = "to_tok", tasks: int | None = None
+) -> DataFrame:
     """``(entity_id, vec)``: the text column encoded in Arrow batches.
 
     ``make_encoder`` runs once per worker task, so a model is loaded there and not shipped.
+    ``tasks`` spreads the texts first; without it a small table of texts may be few tasks,
+    which is too few for a slow encoder.
     """
+    docs = docs.select(ENTITY, text)
+    if tasks:
+        docs = docs.repartition(tasks, ENTITY)
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -84,12 +91,12 @@ def mean_pool(token_vectors: DataFrame, mask: str | None = None) -> DataFrame:
 
 
 def update_embedding_store(
-    docs: DataFrame, path: str, make_encoder: Callable[[], Encoder], text: str = "to_tok"
+    docs: DataFrame, path: str, make_encoder: Callable[[], Encoder], text: str = "to_tok", tasks: int | None = None
 ) -> DataFrame:
     """Encode only the entities the store lacks, append them, and return the whole store."""
     spark = docs.sparkSession
     todo = missing_entities(docs, embeddings_or_empty(spark, path))
-    append_embeddings(embed_text(todo, make_encoder, text), path)
+    append_embeddings(embed_text(todo, make_encoder, text, tasks), path)
     return embeddings_or_empty(spark, path)
 
 

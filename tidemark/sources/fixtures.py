@@ -92,7 +92,10 @@ class Fixtures:
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             template = VIEWS[name]
-            return self.spark.sql(template, **{t: getattr(self, t) for t in tables_in(template)})
-        if name in BASE_TABLES:
-            return self.spark.read.parquet(table_path(self.folder, name))
-        raise AttributeError(name)
+            table = self.spark.sql(template, **{t: getattr(self, t) for t in tables_in(template)})
+        elif name in BASE_TABLES:
+            table = self.spark.read.parquet(table_path(self.folder, name))
+        else:
+            raise AttributeError(name)
+        setattr(self, name, table)
+        return table
