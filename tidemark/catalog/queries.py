@@ -6,6 +6,7 @@ Doubles are rounded to six decimals, since sums depend on the order of rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -641,10 +642,14 @@ def hashing_tfidf(t):
     return _vector_cells(tfidf.hashing_tfidf(words).select(ENTITY, "features"))
 
 
+def _tasks(t) -> int:
+    return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @query
 def embed_text(t):
     docs = t.documents.select(ENTITY, tx.tokenizer_text(F.col("text")).alias("to_tok"))
-    encoded = vectors.embed_text(docs, lambda: vectors.HashingEncoder(ENCODER_WIDTH))
+    encoded = vectors.embed_text(docs, partial(vectors.HashingEncoder, ENCODER_WIDTH), tasks=_tasks(t))
     cells = encoded.select(ENTITY, F.posexplode("vec").alias("pos", VALUE)).filter(F.col(VALUE) != 0)
     return cells.select(ENTITY, "pos", r6(VALUE))
 

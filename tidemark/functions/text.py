@@ -7,18 +7,22 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NON_WORD = r"[^\p{L}\p{N}_]"
+# neither a letter, a number nor an underscore; the underscore is blanked as well in cleaned text
+SEPARATOR = r"[^\p{L}\p{N}]"
 DIGITS = r"\p{Nd}+"
+# The characters that end a line of text.
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def _words_only(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, NON_WORD, " "), "_", " ")
+    """Every separator as one blank, so positions stay the same."""
+    return F.regexp_replace(text, SEPARATOR, " ")
 
 
 def clean_text(text: Column) -> Column:
     """Lower-case words separated by single blanks."""
-    return F.lower(F.regexp_replace(_words_only(text), " +", " "))
+    return F.lower(F.regexp_replace(text, SEPARATOR + "+", " "))
 
 
 def clean_tokens(text: Column, stop_words: Iterable[str] = ()) -> Column:
@@ -33,13 +37,22 @@ def clean_tokens(text: Column, stop_words: Iterable[str] = ()) -> Column:
     return F.filter(F.array_distinct(words), wanted)
 
 
+def _without_last_break(text: Column) -> Column:
+    """A line break at the very end closes the last line and starts no new one."""
+    size = F.length(text)
+    return (
+        F.when(F.endswith(text, F.lit("\r\n")), F.substring(text, F.lit(1), size - 2))
+        .when(F.right(text, F.lit(1)).isin(list(BREAKS)), F.substring(text, F.lit(1), size - 1))
+        .otherwise(text)
+    )
+
+
 def tokenizer_text(text: Column) -> Column:
     """One line of text for a tokenizer: lines joined by ``. ``, symbols dropped, dots tidied."""
-    one_line = F.regexp_replace(F.regexp_replace(text, rf"({LINE_BREAK})\z", ""), LINE_BREAK, ". ")
-    no_symbols = F.regexp_replace(one_line, r"[\[\]*_#:?!]+", " ")
-    single_blanks = F.regexp_replace(no_symbols, " +", " ")
-    tight_dots = F.regexp_replace(single_blanks, r"\. \.| \.", ".")
-    return F.regexp_replace(tight_dots, r"\.+", ".")
+    one_line = F.regexp_replace(_without_last_break(text), LINE_BREAK, ". ")
+    plain = F.regexp_replace(one_line, r"[\[\]*_#:?! ]+", " ")
+    # dots that touch or stand one blank apart become one
+    return F.regexp_replace(plain, r"(?: ?\.)+", ".")
 
 
 def section_after_first(text: Column, term: str) -> Column:

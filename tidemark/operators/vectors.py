@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +30,27 @@ class HashingEncoder:
     def __init__(self, width: int = 32, max_tokens: int | None = None):
         self.width, self.max_tokens = width, max_tokens
 
+    def _cell(self, word: str) -> int:
+        """The word's position, moved up by the width when its sign is negative."""
+        digest = hashlib.md5(word.encode()).hexdigest()
+        return int(digest[:8], 16) % self.width + (0 if digest[8] < "8" else self.width)
+
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width))
-        known: dict[str, tuple[int, int]] = {}
         for row, text in enumerate(texts):
             words = re.findall(r"\w+", (text or "").lower(), flags=re.ASCII)[: self.max_tokens]
-            for word in words:
-                if word not in known:
-                    digest = hashlib.md5(word.encode()).hexdigest()
-                    known[word] = int(digest[:8], 16) % self.width, 1 if digest[8] < "8" else -1
-                position, sign = known[word]
-                out[row, position] += sign
             if words:
-                out[row] /= len(words)
+                counts = np.zeros(2 * self.width)
+                for word, times in Counter(words).items():
+                    counts[self._cell(word)] += times
+                out[row] = (counts[: self.width] - counts[self.width :]) / len(words)
         return out
 
 
+# worker tasks need not have this package installed to use the encoder
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def embed_text(
     docs: DataFrame, make_encoder: Callable[[], Encoder], text: str = "to_tok", tasks: int | None = None
 ) -> DataFrame:
@@ -62,7 +70,9 @@ def embed_text(
         for batch in batches:
             yield pd.Series(list(np.asarray(encoder(batch.tolist()), dtype="float64")))
 
-    return docs.select(ENTITY, encode(F.col(text)).alias("vec"))
+    # marked so that the optimiser does not run the encoder a second time inside a filter
+    once = encode.asNondeterministic()
+    return docs.select(ENTITY, once(F.col(text)).alias("vec"))
 
 
 def mean_by_position(token_vectors: DataFrame, mask: str | None = None) -> DataFrame:
