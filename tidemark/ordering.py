@@ -32,9 +32,14 @@ def running_totals(df: DataFrame, order: list[str], sums: list[str], group: list
     offsets = (
         ranged.groupBy(_SLICE, *group)
         .agg(*[F.sum(c).alias(c) for c in sums])
-        .select(_SLICE, *group, *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"_{c}_offset") for c in sums])
+        .select(
+            *[F.col(c).alias(f"_at_{c}") for c in (_SLICE, *group)],
+            *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"_{c}_offset") for c in sums],
+        )
     )
-    return local.join(offsets, [_SLICE, *group]).select(
+    # null-safe, so that a group named null keeps its rows
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in (_SLICE, *group)]
+    return local.join(offsets, same).select(
         *df.columns, *[(F.col(f"_{c}_local") + F.col(f"_{c}_offset")).alias(f"{c}_before") for c in sums]
     )
 

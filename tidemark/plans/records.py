@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 
 from ..config import StudyParams
 from ..operators import cohort, normalize, period
+from ..sources.readers import for_entities
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,20 @@ class Records:
     procedure_orders: DataFrame | None = None
 
 
+def restricted(records: Records, ids: DataFrame) -> Records:
+    """The same tables with only the rows of the given entities (column ``entity_id``)."""
+    wanted = ids.select(ids["entity_id"].alias("SUBJECT_ID"))
+    spread = {"labevents": "CHARTTIME", "prescriptions": "STARTDATE", "notes": "CHARTDATE", "microbiology": "CHARTTIME"}
+    kept = {}
+    for field in fields(records):
+        table = getattr(records, field.name)
+        if table is not None:
+            by = [spread[field.name]] if field.name in spread else None
+            table = for_entities(table, wanted, spread_by=by)
+        kept[field.name] = table
+    return Records(**kept)
+
+
 class Study:
     """Lazily built tables that several plans share. Nothing runs until a result is asked for."""
 

@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "DATE": T.DateType(),
+    "ARRAY<DOUBLE>": T.ArrayType(T.DoubleType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema from ``NAME TYPE, ...``; unlike Spark's own form it needs no session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 PATIENTS = _struct("ROW_ID BIGINT, SUBJECT_ID BIGINT, GENDER STRING, DOB STRING, DOD STRING, DOD_HOSP STRING, "
