@@ -49,6 +49,14 @@ class Tables(Study):
     def ids(self) -> DataFrame:
         return self.views.patients.select(F.col("SUBJECT_ID").alias(ENTITY))
 
+    @property
+    def notes(self) -> DataFrame:
+        return normalize.notes(self.note_scan)
+
+    @property
+    def note_scan(self) -> DataFrame:
+        return readers.spread_if_few(self.views.notes, "ROW_ID")
+
     @property
     def documents(self) -> DataFrame:
         """Every note as a document of its own."""
@@ -584,7 +592,7 @@ def mean_dose(t):
 
 
 def _per_note(t, name: str, column: Column) -> DataFrame:
-    return t.views.notes.select("ROW_ID", column.alias(name))
+    return t.note_scan.select("ROW_ID", column.alias(name))
 
 
 @query
@@ -642,14 +650,10 @@ def hashing_tfidf(t):
     return _vector_cells(tfidf.hashing_tfidf(words).select(ENTITY, "features"))
 
 
-def _tasks(t) -> int:
-    return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 @query
 def embed_text(t):
     docs = t.documents.select(ENTITY, tx.tokenizer_text(F.col("text")).alias("to_tok"))
-    encoded = vectors.embed_text(docs, partial(vectors.HashingEncoder, ENCODER_WIDTH), tasks=_tasks(t))
+    encoded = vectors.embed_text(docs, partial(vectors.HashingEncoder, ENCODER_WIDTH))
     cells = encoded.select(ENTITY, F.posexplode("vec").alias("pos", VALUE)).filter(F.col(VALUE) != 0)
     return cells.select(ENTITY, "pos", r6(VALUE))
 

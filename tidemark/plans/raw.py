@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
-from ..sources.readers import read_csv
+from ..sources.readers import read_csv, spread_if_few
 from ..sources.writers import write_parquet
 from .records import Records
 
@@ -36,8 +36,8 @@ def read_extract(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def load_records(spark: SparkSession, base: str) -> Records:
-    """All extracts below ``base``. Each gzip file is one task, so convert large ones first."""
-    return Records(**{table: read_extract(spark, base, table) for table in FILES})
+    """All extracts below ``base``. A gzip file is read by one task and spread after it; convert large ones first."""
+    return Records(**{table: spread_if_few(read_extract(spark, base, table), "ROW_ID") for table in FILES})
 
 
 def convert(spark: SparkSession, base: str, out: str, files: int) -> None:

@@ -12,7 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
 
-BASE_TABLES = ("customer", "orders", "lineitem", "events", "documents", "embeddings")
+# declared, so that opening a table starts no job
+BASE_TABLES = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+}
 
 VIEWS: dict[str, str] = {
     "patients": """
@@ -94,7 +105,7 @@ class Fixtures:
             template = VIEWS[name]
             table = self.spark.sql(template, **{t: getattr(self, t) for t in tables_in(template)})
         elif name in BASE_TABLES:
-            table = self.spark.read.parquet(table_path(self.folder, name))
+            table = self.spark.read.schema(BASE_TABLES[name]).parquet(table_path(self.folder, name))
         else:
             raise AttributeError(name)
         setattr(self, name, table)

@@ -24,6 +24,17 @@ def read_csv(
     return reader.csv(path)
 
 
+def spread_if_few(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows by ``key`` when a scan has fewer splits than the cluster has cores.
+
+    One gzip file or a few large ones would leave costly text work to a few tasks. A scan with
+    splits enough, as any large table has, is left alone and not shuffled. ``df`` is a scan with
+    projections and filters at most: splits can be counted there without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns; the scan below is pruned to them."""
     return df.select(*columns)
