@@ -29,3 +29,17 @@ def test_entry(spark):
 def test_hashing_tfidf_rows(spark):
     out = compare(spark, SMALL, "hashing_tfidf", queries()["hashing_tfidf"], None)
     assert out["ok"]
+
+
+@pytest.mark.parametrize("name", ["lab_features", "svmlight_lines", "cohort_auc", "last_note"])
+def test_same_rows_without_broadcast(spark, name):
+    """The way taken when no side is small enough to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = queries()[name](spark, SMALL)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        out = compare(spark, SMALL, name, queries()[name], ORACLES[name])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out["ok"], out
+    assert "SortMergeJoin" in plan
