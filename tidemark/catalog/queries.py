@@ -100,6 +100,8 @@ class Tables(Study):
 
     @property
     def baseline(self) -> DataFrame:
+        """All structured features; the windows are written once for the three families."""
+        self.period = stage(self.period, "period")
         return modelling.baseline_long(self.diag_presence, self.lab_features, self.med_features)
 
     @property
@@ -560,8 +562,7 @@ def pivot_features(t):
 
 @query
 def sparse_matrix(t):
-    long = modelling.baseline_long(t.diag_presence, t.lab_features, t.med_features)
-    matrix = model.training_matrix(long, t.outcomes)
+    matrix = model.training_matrix(t.baseline, t.outcomes)
     return _vector_cells(matrix.rows.drop("label"))
 
 
