@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, trie_dedup
+from . import langid, mixing, pieces, simhash, trie_dedup
+
+#: a public SentencePiece model; any BPE model with byte fallback will do
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,10 +29,21 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, folder).select("doc_id", "text"), words=4, distance=4)
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded_documents(_documents(spark, folder).select("doc_id", "text"), pieces.load(PIECE_MODEL))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {
