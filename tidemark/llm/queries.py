@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pieces, simhash, trie_dedup
+from . import html_text, langid, licenses, mixing, pieces, secret_scan, simhash, spotsigs, toxicity, trie_dedup
 
 #: a public SentencePiece model; any BPE model with byte fallback will do
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -16,10 +16,28 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.edit_probe(_documents(spark, folder).select("doc_id", "text"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return trie_dedup.copy_groups(_documents(spark, folder).select("doc_id", "text"))
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, folder).select("doc_id", "text", "source"))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_documents(spark, folder).select("doc_id", "text"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, folder).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -38,12 +56,22 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html")
+    return html_text.extract(pages)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spotsigs": op1_spotsigs,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_toxicity": op4_toxicity,
+    "op5_licenses": op5_licenses,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {
