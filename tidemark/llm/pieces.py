@@ -16,7 +16,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .tables import pieces_of
 
 _SPACE = "▁"
-_MEMO = 300_000  # chunks, and atoms, whose ids a worker remembers
+_MEMO = 200_000  # chunks, and atoms, whose ids a worker remembers
+_PAIRS = 600_000  # pairs of pieces whose verdict it remembers
+_INDEX = 12_000  # atoms indexed together
 _WORD = 8  # bytes in one sort key
 
 
@@ -178,7 +180,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.chunk.findall(t) for t in self.table.processor.normalize(texts)]
-        for memory, most in ((self.chunks, _MEMO), (self.atoms, _MEMO), (self.pairs, 10 * _MEMO)):
+        for memory, most in ((self.chunks, _MEMO), (self.atoms, _MEMO), (self.pairs, _PAIRS)):
             if len(memory) > most:
                 memory.clear()
         fresh = list(dict.fromkeys(c for chunks in cut for c in dict.fromkeys(chunks) if c not in self.chunks))
@@ -200,8 +202,8 @@ class Encoder:
             atoms.append(whole[at:stop])
             at = stop
         fresh = list(dict.fromkeys(a for a in atoms if a not in self.atoms))
-        for low in range(0, len(fresh), 100_000):
-            self._learn(fresh[low : low + 100_000])
+        for low in range(0, len(fresh), _INDEX):
+            self._learn(fresh[low : low + _INDEX])
         known, low = self.atoms, 0
         for chunk, high in zip(chunks, np.searchsorted(stops, bounds, "right").tolist()):
             self.chunks[chunk] = b"".join(map(known.__getitem__, atoms[low:high]))
@@ -348,7 +350,7 @@ def encode(docs: DataFrame, table: PieceTable, text_column: str = "text", ids_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in pieces_of(batches, 8_000_000):
+        for batch in pieces_of(batches, 2_000_000):
             ids = encoder.encode([t or "" for t in batch[text_column].to_pylist()])
             starts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])
