@@ -34,9 +34,14 @@ FEATURES = (
 )
 
 
+def stem(word: str) -> str:
+    """A word's first four letters, marked: inflected insults share them."""
+    return word[:4] + "-" if len(word) > 4 else ""
+
+
 @dataclass
 class Lexicon:
-    """Words that tell toxic documents of the training sample from others; strong ones tell more."""
+    """Words and stems that tell toxic documents of the training sample from others; strong ones tell more."""
 
     strong: frozenset[str]
     weak: frozenset[str]
@@ -47,8 +52,8 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     lower = text.lower()
     words = _WORD.findall(lower)
     n, length = max(len(words), 1), max(len(text), 1)
-    strong = [i for i, w in enumerate(words) if w in lexicon.strong]
-    weak = sum(map(lexicon.weak.__contains__, words))
+    strong = [i for i, w in enumerate(words) if w in lexicon.strong or stem(w) in lexicon.strong]
+    weak = sum(w in lexicon.weak or stem(w) in lexicon.weak for w in words)
     address = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     mixed = _MIXED.findall(lower)
     disguised = sum(m.translate(_DISGUISE) in lexicon.strong for m in mixed)
@@ -105,10 +110,10 @@ def training_sample(
     )
 
 
-def learn_lexicon(sample: DataFrame, most_words: int = 500, least_share: float = 0.02) -> Lexicon:
-    """Words of toxic sample documents whose odds against the others are high.
+def learn_lexicon(sample: DataFrame, most_words: int = 1000, least_share: float = 0.02) -> Lexicon:
+    """Words and stems of toxic sample documents whose odds against the others are high.
 
-    A word is taken if ``least_share`` of the toxic documents, five at least, hold it; ``most_words`` bounds the result.
+    One is taken if ``least_share`` of the toxic documents, five at least, hold it; ``most_words`` bounds the result.
     """
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +121,7 @@ def learn_lexicon(sample: DataFrame, most_words: int = 500, least_share: float =
             words, marks = [], []
             for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
                 found = {w for w in _WORD.findall(text.lower()) if len(w) < 40}
+                found |= {s for w in found if (s := stem(w))}
                 words += found
                 marks += [label] * len(found)
             yield pa.record_batch([pa.array(words, pa.string()), pa.array(marks, pa.int32())], ["word", "label"])
@@ -134,7 +140,7 @@ def learn_lexicon(sample: DataFrame, most_words: int = 500, least_share: float =
         .limit(most_words)
         .collect()
     )
-    strong = frozenset(r["word"] for r in chosen if r["odds"] >= 2)
+    strong = frozenset(r["word"] for r in chosen if r["odds"] >= 3)
     return Lexicon(strong, frozenset(r["word"] for r in chosen) - strong)
 
 
