@@ -118,14 +118,13 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> Da
 
     A document that the budget cuts is given whole, so a source exceeds its target by less than
     one document. Documents the mix takes nothing of, those without words among them, are left out.
-    Ids should be unique; a repeated id brings the copies of each of its rows to all of them.
+    Rows that repeat an id come as often as the one of them that the mix takes most often; a null id is an id.
     """
     taken = mix(docs, id_column=id_column, **options).filter(F.col("taken") > 0)
-    copies = taken.select(
-        F.col("doc_id").alias("_mix_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_mix_copies")
+    copies = taken.groupBy(F.col("doc_id").alias("_mix_id")).agg(
+        F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("_mix_copies")
     )
-    joined = docs.join(copies, F.col(id_column) == F.col("_mix_id"))
-    repeated = joined.select(
-        *[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies"))).alias("_mix_turn")
-    )
-    return repeated.drop("_mix_turn")
+    joined = docs.join(copies, docs[id_column].eqNullSafe(copies["_mix_id"]))
+    turns = F.explode(F.array_repeat(F.lit(0), copies["_mix_copies"])).alias("_mix_turn")
+    # every column of the input, then the turn, which goes again
+    return joined.select(*[docs[c] for c in docs.columns], turns).select(*[F.col(f"`{c}`") for c in docs.columns])

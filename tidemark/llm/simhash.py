@@ -249,8 +249,12 @@ def near_groups(
     printed = stage(fingerprints(docs, words, id_column, text_column), "fingerprints")
     classes = printed.groupBy("fp").agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull())
     roots = component_roots(fingerprint_links(classes, distance, blocks), "a", "b")
-    named = classes.join(roots, F.col("id") == F.col("node"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id")
+    # written, so that the join below reads plain rows and adaptive execution may split the key of many copies
+    named = stage(
+        classes.join(roots, F.col("id") == F.col("node"), "left").select(
+            F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id")
+        ),
+        "named",
     )
     return printed.join(named, F.col("fp") == F.col("_fp"), "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -261,4 +265,4 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", **options) ->
     """The documents whose id names their group, with the columns they came with; null ids stay."""
     groups = near_groups(docs, id_column=id_column, **options)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
