@@ -37,15 +37,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids; decoding gave every text back where ``round_trip`` is true."""
     table = pieces.load(PIECE_MODEL)
-    both = pieces.decode(pieces.encode(docs, table), table)
-    return both.select(
-        *docs.columns,
-        "token_ids",
-        F.size("token_ids").alias("n_tokens"),
-        F.coalesce(F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" ")), F.lit(False)).alias(
-            "round_trip"
-        ),
-    )
+    both = pieces.encode_and_decode(docs, table)
+    added = ["token_ids", F.size("token_ids").alias("n_tokens"), pieces.same_text("text", "decoded").alias("round_trip")]
+    return both.select(*docs.columns, *added)
 
 
 STAGES = [

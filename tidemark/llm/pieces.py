@@ -17,8 +17,8 @@ from .tables import pieces_of
 
 _SPACE = "▁"
 _MEMO = 200_000  # chunks, and atoms, whose ids a worker remembers
-_PAIRS = 600_000  # pairs of pieces whose verdict it remembers
-_INDEX = 12_000  # atoms indexed together
+_PAIRS = 1 << 21  # places for verdicts on pairs of pieces
+_INDEX = 32_000  # atoms indexed together
 _WORD = 8  # bytes in one sort key
 
 
@@ -61,7 +61,7 @@ class PieceTable:
         )
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("processor", "search_keys", "neighbours", "surface")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("processor", "search_keys", "neighbours", "gather")}
 
     @cached_property
     def processor(self) -> sentencepiece.SentencePieceProcessor:
@@ -137,8 +137,11 @@ class PieceTable:
         return kinds, adjacent
 
     @cached_property
-    def surface(self) -> list[bytes]:
-        """The bytes a piece stands for in a text; control pieces stand for none."""
+    def gather(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes that pieces stand for in a text in one string, with begin and size for each id.
+
+        Control pieces stand for none.
+        """
         sp = self.processor
         out = []
         for i, piece in enumerate(self.pieces):
@@ -148,7 +151,8 @@ class PieceTable:
                 out.append(b"")
             else:
                 out.append((" ⁇ " if sp.is_unknown(i) else piece.replace(_SPACE, " ")).encode())
-        return out
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.frombuffer(b"".join(out), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 def suffix_order(keys: np.ndarray, words: int) -> np.ndarray:
@@ -175,25 +179,28 @@ class Encoder:
         self.table = table
         self.chunks: dict[str, bytes] = {}
         self.atoms: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        # verdicts at a place given by the pair; a later pair may overwrite an earlier one
+        self.pair_at, self.pair_fits = np.full(_PAIRS, -1, np.int64), np.zeros(_PAIRS, bool)
         self.chunk = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+") if table.by_chunk else re.compile("(?s).+")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.chunk.findall(t) for t in self.table.processor.normalize(texts)]
-        for memory, most in ((self.chunks, _MEMO), (self.atoms, _MEMO), (self.pairs, _PAIRS)):
-            if len(memory) > most:
+        for memory in (self.chunks, self.atoms):
+            if len(memory) > _MEMO:
                 memory.clear()
-        fresh = list(dict.fromkeys(c for chunks in cut for c in dict.fromkeys(chunks) if c not in self.chunks))
-        self._learn_chunks(fresh)
+        fresh = set().union(*cut).difference(self.chunks)
+        self._learn_chunks(sorted(fresh))
         return [np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), np.int32) for chunks in cut]
 
     def _learn_chunks(self, chunks: list[str]) -> None:
         """Cut chunks into atoms between characters that no piece holds side by side, and look those up."""
+        if not chunks:
+            return
         whole = "".join(chunks)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         kinds, adjacent = self.table.neighbours
         kind = kinds[points]
-        cut = np.concatenate([~adjacent[kind[:-1], kind[1:]], [True]]) if len(points) else np.zeros(0, bool)
+        cut = np.concatenate([~adjacent[kind[:-1], kind[1:]], [True]])
         bounds = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
         cut[bounds - 1] = True
         stops = np.flatnonzero(cut) + 1
@@ -201,12 +208,15 @@ class Encoder:
         for stop in stops.tolist():
             atoms.append(whole[at:stop])
             at = stop
-        fresh = list(dict.fromkeys(a for a in atoms if a not in self.atoms))
+        fresh = sorted(set(atoms).difference(self.atoms))
         for low in range(0, len(fresh), _INDEX):
             self._learn(fresh[low : low + _INDEX])
         known, low = self.atoms, 0
         for chunk, high in zip(chunks, np.searchsorted(stops, bounds, "right").tolist()):
-            self.chunks[chunk] = b"".join(map(known.__getitem__, atoms[low:high]))
+            if high - low == 1:
+                self.chunks[chunk] = known[chunk]
+            else:
+                self.chunks[chunk] = b"".join([known[a] for a in atoms[low:high]])
             low = high
 
     def _learn(self, atoms: list[str]) -> None:
@@ -217,12 +227,14 @@ class Encoder:
         firsts = stops - sizes
         text[stops] = 0xFF  # in no UTF-8 text, so no match crosses it
         starts, ends, tokens = self._edges(text)
-        home = np.repeat(np.arange(len(stops)), sizes + 1)
-        depth = ends - firsts[home[starts]]
-        order = np.lexsort((ends, depth))
+        first_at = np.repeat(firsts.astype(np.int32), sizes + 1)
+        depth = ends - first_at[starts]
+        # by the place of their end in the atom; narrow numbers are sorted by radix
+        narrow = depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth
+        order = np.argsort(narrow, kind="stable")
         starts, ends, tokens, depth = starts[order], ends[order], tokens[order], depth[order]
-        begins = firsts[home[starts]] == starts
-        last = np.full(len(text) + 1, -1, np.int64)  # the edge that ends an atom's prefix here
+        begins = first_at[starts] == starts
+        last = np.full(len(text) + 1, -1, np.int32)  # the edge that ends an atom's prefix here
         cuts = np.flatnonzero(np.concatenate(([True], depth[1:] != depth[:-1]))) if len(depth) else np.zeros(0, int)
         for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(depth)]):
             before = last[starts[low:high]]
@@ -235,6 +247,8 @@ class Encoder:
         at, alive, path = stops.copy(), np.arange(len(stops)), []
         while len(alive):
             edge = last[at[alive]]
+            if (edge < 0).any():
+                raise AssertionError("a position that no piece reaches")
             path.append((alive, edge))
             at[alive] = starts[edge]
             alive = alive[at[alive] > firsts[alive]]
@@ -265,14 +279,19 @@ class Encoder:
             keys |= padded[k : k + len(keys)] << np.uint64(56 - 8 * k)
         order = suffix_order(keys[:size], words)
 
+        head = keys[order]
+        from_, to = np.searchsorted(head, low[:, 0], "left"), np.searchsorted(head, high[:, 0], "right")
+        # pieces of more than one sort key: on within the range of their first
+        long = np.flatnonzero((lengths > _WORD) & (to > from_))
+
         def bound(wanted: np.ndarray, after_equal: bool) -> np.ndarray:
-            """For each piece the number of suffixes below its key, by halving for all pieces at once."""
-            first, final = np.zeros(len(wanted), np.int64), np.full(len(wanted), size, np.int64)
+            """Where the suffixes below a key end, by halving the ranges of all long pieces at once."""
+            first, final = from_[long].copy(), to[long].copy()
             while (open_ := first < final).any():
                 middle = (first + final) // 2
                 at = order[np.minimum(middle, size - 1)]
-                below, same = np.zeros(len(wanted), bool), np.ones(len(wanted), bool)
-                for w in range(words):
+                below, same = np.zeros(len(long), bool), np.ones(len(long), bool)
+                for w in range(1, words):
                     there = keys[at + _WORD * w]
                     below |= same & (there < wanted[:, w])
                     same &= there == wanted[:, w]
@@ -282,11 +301,11 @@ class Encoder:
                 final = np.where(open_ & ~below, middle, final)
             return first
 
-        from_, to = bound(low, False), bound(high, True)
+        from_[long], to[long] = bound(low[long], False), bound(high[long], True)
         count = to - from_
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        starts = order[np.repeat(from_, count) + place]
-        ends, tokens = starts + np.repeat(lengths, count), np.repeat(ids, count).astype(np.int64)
+        starts = order[np.repeat(from_, count) + place].astype(np.int32)
+        ends, tokens = starts + np.repeat(lengths.astype(np.int32), count), np.repeat(ids, count)
         heads = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0xFF))
         following = np.append(heads[1:], size)
         marks = np.flatnonzero(text == 0xFF)
@@ -297,26 +316,26 @@ class Encoder:
         single[starts[ends == full[starts]]] = True
         lone = ~single[heads]
         return (
-            np.concatenate([starts, heads[lone]]),
-            np.concatenate([ends, tails[lone]]),
-            np.concatenate([tokens, np.full(lone.sum(), -1)]),
+            np.concatenate([starts, heads[lone].astype(np.int32)]),
+            np.concatenate([ends, tails[lone].astype(np.int32)]),
+            np.concatenate([tokens, np.full(lone.sum(), -1, np.int32)]),
         )
 
     def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the right piece may follow the left one; characters that are no piece never merge."""
-        keys = left * (1 << 32) + right
-        known, where = np.unique(keys, return_inverse=True)
-        out = np.ones(len(known), bool)
-        pieces = self.table.pieces
-        for i, key in enumerate(known.tolist()):
-            a, b = key >> 32, key & 0xFFFFFFFF
-            if b == 0xFFFFFFFF or a < 0 or key < 0:
-                continue
-            fits = self.pairs.get(key)
-            if fits is None:
-                fits = self.pairs[key] = self.table.may_follow(pieces[a], pieces[b])
-            out[i] = fits
-        return out[where]
+        keys = left.astype(np.int64) * len(self.table.pieces) + right
+        place = (keys * 0x9E3779B1) % _PAIRS
+        pairs = (left >= 0) & (right >= 0)
+        held = self.pair_at[place] == keys
+        out = np.where(pairs, self.pair_fits[place], True)
+        new = np.flatnonzero(pairs & ~held)
+        if len(new):
+            missed, which = np.unique(keys[new], return_inverse=True)
+            pieces, n = self.table.pieces, len(self.table.pieces)
+            fresh = np.array([self.table.may_follow(pieces[k // n], pieces[k % n]) for k in missed.tolist()], bool)
+            out[new] = fresh[which]
+            self.pair_at[place[new]], self.pair_fits[place[new]] = keys[new], out[new]
+        return out
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -337,26 +356,56 @@ def load(model_path: str) -> PieceTable:
         return PieceTable(file.read())
 
 
-def encode(docs: DataFrame, table: PieceTable, text_column: str = "text", ids_column: str = "token_ids") -> DataFrame:
-    """Add the list of piece ids of every whole text; equal to the public library's ids for the same model.
+def _add_ids(batch: pa.RecordBatch, table: PieceTable, text_column: str, ids_column: str) -> pa.RecordBatch:
+    ids = _encoder(table).encode([t or "" for t in batch[text_column].to_pylist()])
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+    return batch.append_column(ids_column, pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)))
 
-    Null and empty texts have no ids. Texts are cut before white space where the vocabulary has no piece across it,
-    so a batch is indexed by its distinct chunks. The table is broadcast: its size is fixed by the model.
-    Rows, repeats included, keep their other columns; a column of the result's name is replaced.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    plain = docs.drop(ids_column)
-    schema = StructType([*plain.schema.fields, StructField(ids_column, ArrayType(IntegerType(), False))])
+
+def _add_text(batch: pa.RecordBatch, table: PieceTable, ids_column: str, text_column: str) -> pa.RecordBatch:
+    """All lists of a batch at once: every id's bytes are gathered from one string of all surfaces."""
+    surface, begins, sizes = table.gather
+    lists = batch[ids_column]
+    counts = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+    flat = np.asarray(lists.flatten()).astype(np.int64)
+    many = sizes[flat]
+    place = np.repeat(begins[flat] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    raw = surface[place].tobytes()
+    stops = np.concatenate(([0], np.cumsum(many)))[np.cumsum(counts)].tolist()
+    texts, at = [], 0
+    for stop in stops:
+        texts.append(raw[at:stop].removeprefix(b" ").decode("utf-8", "replace"))
+        at = stop
+    return batch.append_column(text_column, pa.array(texts, pa.string()))
+
+
+def _mapped(df: DataFrame, table: PieceTable, added: list[StructField], steps) -> DataFrame:
+    """Apply steps to small batches; the table is broadcast, its size is fixed by the model."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    plain = df.drop(*[field.name for field in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
         for batch in pieces_of(batches, 2_000_000):
-            ids = encoder.encode([t or "" for t in batch[text_column].to_pylist()])
-            starts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-            yield batch.append_column(ids_column, pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)))
+            for step, *names in steps:
+                batch = step(batch, shared.value, *names)
+            yield batch
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *added]))
+
+
+def _ids_field(name: str) -> StructField:
+    return StructField(name, ArrayType(IntegerType(), False))
+
+
+def encode(docs: DataFrame, table: PieceTable, text_column: str = "text", ids_column: str = "token_ids") -> DataFrame:
+    """Add the list of piece ids of every whole text; equal to the public library's ids for the same model.
+
+    Null and empty texts have no ids. Texts are cut where the vocabulary has no piece across, so a batch
+    is indexed by its distinct atoms. Rows, repeats included, keep their other columns; a column of the
+    result's name is replaced.
+    """
+    return _mapped(docs, table, [_ids_field(ids_column)], [(_add_ids, text_column, ids_column)])
 
 
 def decode(tokens: DataFrame, table: PieceTable, ids_column: str = "token_ids", text_column: str = "decoded") -> DataFrame:
@@ -365,30 +414,29 @@ def decode(tokens: DataFrame, table: PieceTable, ids_column: str = "token_ids",
     Bytes that are no UTF-8 become replacement characters; a null list gives an empty text. The space
     mark of the model is a space in the result, so a text that holds that mark itself comes back with a space.
     """
-    shared = tokens.sparkSession.sparkContext.broadcast(table)
-    plain = tokens.drop(text_column)
-    schema = StructType([*plain.schema.fields, StructField(text_column, StringType())])
+    return _mapped(tokens, table, [StructField(text_column, StringType())], [(_add_text, ids_column, text_column)])
+
+
+def encode_and_decode(
+    docs: DataFrame, table: PieceTable, text_column: str = "text", ids_column: str = "token_ids", decoded: str = "decoded"
+) -> DataFrame:
+    """:func:`encode`, then :func:`decode`, in one pass over the rows."""
+    steps = [(_add_ids, text_column, ids_column), (_add_text, ids_column, decoded)]
+    return _mapped(docs, table, [_ids_field(ids_column), StructField(decoded, StringType())], steps)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = shared.value.surface
-        for batch in pieces_of(batches, 8_000_000):
-            texts = []
-            for ids in batch[ids_column].to_pylist():
-                raw = b"".join(map(surface.__getitem__, ids or ()))
-                texts.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
-            yield batch.append_column(text_column, pa.array(texts, pa.string()))
 
-    return plain.mapInArrow(run, schema)
+def same_text(text: str, decoded: str):
+    """Whether decoding gave the text back, but for the space mark that the model cannot tell from a space."""
+    return F.coalesce(F.col(decoded) == F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(_SPACE), F.lit(" ")), F.lit(False))
 
 
 def encoded_documents(docs: DataFrame, table: PieceTable, id_column: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, token_ids, decoded_sha256, round_trip`` of every row, encoded and decoded again."""
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    both = decode(encode(rows, table), table)
+    both = encode_and_decode(docs.select(F.col(id_column).alias("doc_id"), "text"), table)
     return both.select(
         "doc_id",
         F.size("token_ids").alias("n_tokens"),
         "token_ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.replace("text", F.lit(_SPACE), F.lit(" "))).alias("round_trip"),
+        same_text("text", "decoded").alias("round_trip"),
     )
