@@ -65,3 +65,19 @@ def test_stage_uses_the_shared_folder(spark):
 
 def test_embedding_reader_of_missing_store(spark, tmp_path):
     assert writers.embeddings_or_empty(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_misfits_and_reordered_columns(spark, tmp_path):
+    """An unreadable field is null and its line is kept aside; columns in another order are an error."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("a int, b string")
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as file:
+        file.write("a,b\n1,x\ntwo,y\n")
+    got = readers.read_csv(spark, path, readers.with_corrupt_column(schema)).collect()
+    assert [(r.a, r.b, r[readers.CORRUPT]) for r in got] == [(1, "x", None), (None, "y", "two,y")]
+    with open(path, "w") as file:
+        file.write("b,a\nx,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, path, schema).collect()

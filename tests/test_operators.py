@@ -11,6 +11,8 @@ from tidemark.operators import cohort, evaluate, explore, features, normalize, n
 from tidemark.ordering import dense_ids, running_totals
 from tidemark.skew import spread_join
 
+from conftest import SMALL
+
 D = dt.date
 
 
@@ -132,13 +134,64 @@ def test_threshold_is_strict(spark):
     assert {r.feature for r in features.popular_features(events, 3).collect()} == {"b"}
 
 
-def test_one_scan_of_events(spark, tables):
-    """Popularity and aggregation share one exchange, so raw rows are read and grouped once."""
-    built = tables.lab_features
-    built.collect()
-    plan = built._jdf.queryExecution().toString()
-    final = plan[plan.index("== Final Plan"):plan.index("== Initial Plan")] if "== Initial Plan" in plan else plan
-    assert "ReusedExchange" in final
+@pytest.mark.parametrize("family, raw", [("lab_features", "labs"), ("med_features", "meds"), ("diag_presence", "diagnoses")])
+def test_one_scan_of_events(spark, monkeypatch, family, raw):
+    """Broadcast off: raw rows are read, joined to the windows and grouped in one written fragment, without a
+    shuffle between the join and the grouping; popularity and pruning read what was written."""
+    from tidemark.catalog.queries import Tables
+    from tidemark.session import stage
+
+    fragments = []
+
+    def noted(df, name, path=None):
+        fragments.append(df._jdf.queryExecution().sparkPlan().toString())
+        noted.exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(entity_id"))
+        return stage(df, name, path)
+
+    noted.exchanges = []
+    tables = Tables(spark, SMALL)
+    tables.period = stage(tables.period, "period")
+    monkeypatch.setattr(features, "stage", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = getattr(tables, family)
+        plans = [*fragments, built._jdf.queryExecution().sparkPlan().toString()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [p.count("lineitem.parquet") for p in plans] == [1, 0, 0]
+    # events and windows meet by entity; the grouping by entity and feature adds no exchange
+    assert noted.exchanges[0] == 2
+
+
+def test_window_filter_splits_a_hot_entity_with_one_date(spark):
+    """Two thirds of all rows are one entity's on one day: adaptive execution reads them in several tasks."""
+    events = spark.range(60_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id")).alias("entity_id"),
+        F.lit("2000-01-01").cast("date").alias("date"),
+        F.concat(F.lit("code"), F.col("id")).alias("feature"),
+    )
+    window = spark.range(-1, 60_000).select(
+        F.col("id").alias("entity_id"), F.lit("1999-01-01").cast("date").alias("earliest"), F.lit("2001-01-01").cast("date").alias("last")
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for key, setting in small.items():
+        spark.conf.set(key, setting)
+    try:
+        kept = period.window_filter(events.repartition(6), window)
+        assert kept.count() == 60_000
+        kept.write.format("noop").mode("overwrite").save()
+        frame = kept.select("*")
+        frame.collect()
+        assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
 
 
 def test_presence_equals_positive_count(spark, hot_events):
@@ -176,8 +229,13 @@ def test_matrices_and_lines(spark):
     assert list(vector[1].toArray()) == [1.0, 0.25] and vector[2].numNonzeros() == 1
     wide = features.feature_matrix([long], ["a", "b"]).orderBy("entity_id").collect()
     assert [tuple(r) for r in wide] == [(1, 1.0, 0.25), (2, 0.0, 0.1234567)]
-    with pytest.raises(ValueError):
-        features.pivot_features(long, [f"f{i}" for i in range(20000)], ["mean"])
+    assert features.feature_matrix([long], None).columns == ["entity_id", "a", "b"]
+    many = features.pivot_features(long.withColumnRenamed("value", "mean"), ["a", "b", *[f"f{i}" for i in range(10_000)]], ["mean"])
+    assert len(many.columns) == 10_003
+    with pytest.raises(Exception, match="not in the list: b"):
+        features.feature_matrix([long], ["a"]).collect()
+    cells = {tuple(r) for r in features.vector_cells(features.sparse_vectors(long, codes, 2)).collect()}
+    assert cells == {(1, 0, 1.0), (1, 1, 0.25), (2, 1, 0.1234567)}
 
 
 def test_code_groups(spark):
@@ -196,9 +254,7 @@ def test_split_is_complete_and_stable(spark):
         assert train.count() + test.count() == 2000
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_entity_sample_same_either_way(spark, monkeypatch, limit):
-    monkeypatch.setattr(cohort, "_LARGEST_TOP_N", limit)
+def test_entity_sample(spark):
     ids = spark.range(500).select(F.col("id").alias("entity_id"))
     import hashlib
 

@@ -59,7 +59,8 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = tune(SparkSession.builder.appName(f"tidemark-{args.command}").getOrCreate())
     if args.command == "convert":
-        raw.convert(spark, args.input, args.output, args.files)
+        for table, misfits in raw.convert(spark, args.input, args.output, args.files).items():
+            print(f"{table}: {misfits} lines do not fit their types")
         return
     study = _study(spark, args)
     if args.command == "etl":

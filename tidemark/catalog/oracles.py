@@ -31,9 +31,9 @@ def clean(text: str) -> str:
 
 
 def to_tok(text: str) -> str:
-    one_line = f"regexp_replace(regexp_replace({text}, '({_BREAK})\\z', ''), '{_BREAK}', '. ', 'g')"
-    plain = f"regexp_replace(regexp_replace({one_line}, '[\\[\\]*_#:?!]+', ' ', 'g'), ' +', ' ', 'g')"
-    return f"regexp_replace(regexp_replace({plain}, '\\. \\.| \\.', '.', 'g'), '\\.+', '.', 'g')"
+    """Lines become sentences, symbols and blanks one blank, dots with a blank before them one dot."""
+    sentences = f"regexp_replace(regexp_replace({text}, '({_BREAK})\\z', ''), '{_BREAK}', '. ', 'g')"
+    return f"regexp_replace(regexp_replace({sentences}, '[ \\[\\]*_#:?!]+', ' ', 'g'), '( ?\\.)+', '.', 'g')"
 
 
 def section_first(text: str) -> str:

@@ -55,7 +55,7 @@ class Tables(Study):
 
     @property
     def note_scan(self) -> DataFrame:
-        return readers.spread_if_few(self.views.notes, "ROW_ID")
+        return self.views.notes
 
     @property
     def documents(self) -> DataFrame:
@@ -568,12 +568,7 @@ def sparse_matrix(t):
 
 def _vector_cells(rows: DataFrame) -> DataFrame:
     """Stored cells of a vector column as rows."""
-    from pyspark.ml.functions import vector_to_array
-
-    cells = F.posexplode(vector_to_array("features")).alias("idx", VALUE)
-    return rows.select(*[c for c in rows.columns if c != "features"], cells).filter(F.col(VALUE) != 0).withColumn(
-        VALUE, F.round(VALUE, 6)
-    )
+    return features.vector_cells(rows).filter(F.col(VALUE) != 0).withColumn(VALUE, F.round(VALUE, 6))
 
 
 @query

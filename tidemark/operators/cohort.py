@@ -30,21 +30,13 @@ def train_test_split(ids: DataFrame, fraction: float = 0.8, seed: int = 1) -> tu
     return ids.filter(chosen), ids.filter(~chosen)
 
 
-# above this many rows a top-n kept by every task no longer fits one merging task comfortably
-_LARGEST_TOP_N = 10_000
-
-
 def entity_sample(ids: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Exactly ``n`` entities, or all when there are fewer; repeatable for a seed.
 
-    Small samples are a top-n by a hash of the id; large ones take the ranks below ``n`` in the
-    same order, which spreads over all tasks.
+    Those whose rank by a hash of the id is below ``n``; ranks are distributed running totals.
     """
     digest = F.md5(F.concat(F.col(ENTITY).cast("string"), F.lit(f":{seed}")))
-    shuffled = ids.select(ENTITY, digest.alias("_order"))
-    if n <= _LARGEST_TOP_N:
-        return shuffled.orderBy("_order", ENTITY).limit(n).select(ENTITY)
-    counted = shuffled.withColumn("_one", F.lit(1).cast("bigint"))
+    counted = ids.select(ENTITY, digest.alias("_order"), F.lit(1).cast("bigint").alias("_one"))
     return running_totals(counted, ["_order", ENTITY], ["_one"]).filter(F.col("_one_before") < n).select(ENTITY)
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..config import ENTITY, FEATURE, VALUE
 from ..ordering import dense_ids
+from ..session import fresh_path, stage
 from ..skew import spread_join
 from .period import window_filter
 
@@ -42,13 +44,8 @@ def _with_train_flag(pairs: DataFrame, train: DataFrame | Column | None) -> Data
     return joined.withColumn("_train", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def _support(pairs: DataFrame, train: DataFrame | Column | None, carried: Sequence[str] = ()) -> DataFrame:
-    """Per feature: entities having it, training entities having it, known training rows.
-
-    ``carried`` aggregates are counted too. That keeps the columns of ``pairs`` alive on this
-    branch, so that the planner finds the same exchange twice and runs it once.
-    """
-    held = F.coalesce(*[F.col(c).cast("double") for c in carried]) if carried else F.col("_known")
+def _support(pairs: DataFrame, train: DataFrame | Column | None) -> DataFrame:
+    """Per feature: entities having it, training entities having it, known training rows."""
     return (
         _with_train_flag(pairs, train)
         .groupBy(FEATURE)
@@ -56,13 +53,12 @@ def _support(pairs: DataFrame, train: DataFrame | Column | None, carried: Sequen
             F.count(F.lit(1)).alias("n_entities"),
             F.count_if("_train").alias("n_train_entities"),
             F.sum(F.when(F.col("_train"), F.col("_known")).otherwise(0)).alias("n_train_rows"),
-            F.count(held).alias("n_held"),
         )
     )
 
 
 def _keep(support: DataFrame, low_thresh: int | None, count_by: str) -> DataFrame:
-    kept = support.filter((F.col("n_train_entities") > 0) & (F.col("n_held") >= 0))
+    kept = support.filter(F.col("n_train_entities") > 0)
     if low_thresh is not None:
         column = {"entities": "n_entities", "train_rows": "n_train_rows"}[count_by]
         kept = kept.filter(F.col(column) > low_thresh)
@@ -100,14 +96,16 @@ def build_features(
 ) -> DataFrame:
     """Aggregate each feature per entity, keeping features seen in training and common enough.
 
-    ``functions`` name the aggregates (mean, max, min, sum, count), one column each. The raw
-    rows are grouped once; popularity and pruning then work on entity-feature pairs.
+    ``functions`` name the aggregates (mean, max, min, sum, count), one column each. The raw rows are read
+    and grouped once, into entity-feature pairs that are written; popularity and pruning then work on those. The list
+    of kept features is written too, so the planner knows its size before it chooses the join.
     """
     pairs = _pairs(events, functions)
     if train is None and low_thresh is None:
         return pairs.drop("_known")
-    kept = _keep(_support(pairs, train, functions), low_thresh, count_by)
-    return spread_join(pairs, kept, FEATURE, "left_semi", spread_by=[ENTITY]).drop("_known")
+    pairs = stage(pairs, "pairs")
+    kept = stage(_keep(_support(pairs, train), low_thresh, count_by), "kept_features")
+    return pairs.join(kept, FEATURE, "left_semi").select(ENTITY, FEATURE, *functions)
 
 
 def build_presence(
@@ -158,25 +156,33 @@ def pruning_report(events: DataFrame, low_thresh: int, train: DataFrame | Column
     )
 
 
-def pivot_features(
-    built: DataFrame, features: Sequence[str], functions: Sequence[str], fill: float | None = 0.0
-) -> DataFrame:
-    """One column ``<feature>_<aggregate>`` per listed feature and aggregate.
+def _listed(long: DataFrame, features: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    """The rows, and the columns to make of their features.
 
-    The list is explicit, so no extra job looks for it, and it is refused when it is wider
-    than ``spark.sql.pivotMaxValues``; use ``sparse_vectors`` then.
+    Without a list it is read from the rows: one job, names only, as many as the result has columns. With one,
+    a feature outside it stops the job; it would be lost otherwise.
     """
-    widest = int(built.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    if len(features) * len(functions) > widest:
-        raise ValueError(f"{len(features)} features are too many to pivot; use sparse_vectors")
+    if features is None:
+        names = long.select(FEATURE).filter(F.col(FEATURE).isNotNull()).distinct()
+        return long, sorted(r[FEATURE] for r in names.collect())
+    unknown = F.raise_error(F.concat(F.lit("feature is not in the list: "), F.col(FEATURE)))
+    checked = F.when(F.col(FEATURE).isNull() | F.col(FEATURE).isin(list(features)), F.col(FEATURE)).otherwise(unknown)
+    return long.withColumn(FEATURE, checked), list(features)
+
+
+def pivot_features(
+    built: DataFrame, features: Sequence[str] | None, functions: Sequence[str], fill: float | None = 0.0
+) -> DataFrame:
+    """One column ``<feature>_<aggregate>`` per feature and aggregate; see ``_listed`` for the list."""
+    built, names = _listed(built, features)
     cells = [F.first(F.col(f).cast("double"), ignorenulls=True).alias(f) for f in functions]
-    wide = built.groupBy(ENTITY).pivot(FEATURE, list(features)).agg(*cells)
+    wide = built.groupBy(ENTITY).pivot(FEATURE, names).agg(*cells)
     if len(functions) == 1:
-        wide = wide.select(ENTITY, *[F.col(f"`{f}`").alias(f"{f}_{functions[0]}") for f in features])
+        wide = wide.select(ENTITY, *[F.col(f"`{f}`").alias(f"{f}_{functions[0]}") for f in names])
     return wide if fill is None else wide.na.fill(fill)
 
 
-def feature_matrix(families: Sequence[DataFrame], features: Sequence[str], fill: float = 0.0) -> DataFrame:
+def feature_matrix(families: Sequence[DataFrame], features: Sequence[str] | None, fill: float = 0.0) -> DataFrame:
     """Several long families as one wide matrix over every entity of any family.
 
     Joining blocks on the entity and filling with 0 gives the same as pivoting their union once.
@@ -184,7 +190,8 @@ def feature_matrix(families: Sequence[DataFrame], features: Sequence[str], fill:
     union = families[0].select(ENTITY, FEATURE, VALUE)
     for family in families[1:]:
         union = union.unionByName(family.select(ENTITY, FEATURE, VALUE))
-    wide = union.groupBy(ENTITY).pivot(FEATURE, list(features)).agg(F.first(VALUE, ignorenulls=True))
+    union, names = _listed(union, features)
+    wide = union.groupBy(ENTITY).pivot(FEATURE, names).agg(F.first(VALUE, ignorenulls=True))
     return wide.na.fill(fill)
 
 
@@ -228,22 +235,34 @@ def svmlight_lines(
     return rows.select(ENTITY, F.concat_ws(" ", lead, cells, F.lit("")).alias("line"))
 
 
+_STORED_VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+
 def sparse_vectors(long: DataFrame, codes: DataFrame, width: int) -> DataFrame:
-    """``(entity_id, features)`` as sparse vectors of ``width``; the step in front of a model."""
-    to_vector = F.udf(lambda i, v: SparseVector(width, i, v), VectorUDT(), useArrow=True)
+    """``(entity_id, features)`` as sparse vectors of ``width``; the step in front of a model.
+
+    Lists are written in the form in which Parquet holds vectors, and read back as such.
+    """
     lists = index_value_lists(indexed(long, codes))
-    return lists.select(ENTITY, to_vector("indices", "values").alias("features"))
+    stored = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(width).cast("int").alias("size"), "indices", "values"
+    )
+    path = fresh_path(long.sparkSession, "vectors")
+    lists.select(ENTITY, stored.alias("features")).write.parquet(path)
+    schema = StructType([lists.schema[ENTITY], StructField("features", VectorUDT())])
+    return long.sparkSession.read.schema(schema).parquet(path)
+
+
+def vector_cells(rows: DataFrame) -> DataFrame:
+    """The stored cells of sparse ``features`` as rows ``idx, value``, beside the other columns; zeros are not made."""
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "vectors")
+    rows.write.parquet(path)
+    others = [f for f in rows.schema.fields if f.name != "features"]
+    stored = StructType([*others, StructField("features", StructType.fromDDL(f"v {_STORED_VECTOR}")["v"].dataType)])
+    cells = F.inline(F.arrays_zip("features.indices", "features.values")).alias("idx", VALUE)
+    return spark.read.schema(stored).parquet(path).select(*[f.name for f in others], cells)
 
 
 def wide_columns(vectors: DataFrame, width: int, prefix: str, column: str = "vec") -> DataFrame:
     """Array elements as columns ``<prefix>0`` ...."""
     return vectors.select(ENTITY, *[F.col(column)[i].alias(f"{prefix}{i}") for i in range(width)])
-
-
-def named_families(families: Mapping[str, DataFrame]) -> DataFrame:
-    """Union of long families with the family's name."""
-    result = None
-    for name, family in families.items():
-        tagged = family.withColumn("family", F.lit(name))
-        result = tagged if result is None else result.unionByName(tagged)
-    return result

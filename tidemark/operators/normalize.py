@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DATE, ENTITY, FEATURE, VALUE
 from ..functions.dates import day, hours_between
-from ..functions.numbers import mean_dose, number_or_null
+from ..functions.numbers import NUMBER, mean_dose
 from ..functions.text import clean_text
 
 
@@ -47,7 +47,8 @@ def fill_null(df: DataFrame, value: float | str, columns: Sequence[str]) -> Data
 
 def numeric_only(df: DataFrame, column: str) -> DataFrame:
     """Keep rows whose text spells a number, and make it one."""
-    return df.withColumn(column, number_or_null(F.col(column))).filter(F.col(column).isNotNull())
+    # the pattern alone filters, so the cast runs once and on numbers only
+    return df.filter(F.trim(F.col(column)).rlike(NUMBER)).withColumn(column, F.trim(F.col(column)).cast("double"))
 
 
 def outcome_dates(patients: DataFrame) -> DataFrame:

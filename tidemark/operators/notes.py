@@ -16,12 +16,15 @@ from .period import window_filter
 def _latest(rows: DataFrame, text: Column, name: str, ids: DataFrame | None) -> DataFrame:
     """Latest row per entity, the greatest ``text`` on a tie.
 
-    A running maximum keeps one note per entity and task, so no entity's notes are gathered or
-    sorted in one place. Entities are checked after it, on one row each.
+    The latest day is a maximum of short values per entity. Only the notes of that day are then looked at:
+    ``text`` is computed for them, and ties, a few notes of one entity and day, are broken among them.
     """
-    best = rows.groupBy(ENTITY).agg(F.max(F.struct(F.col(DATE), text.alias(name))).alias("best"))
-    latest = best.select(ENTITY, F.col(f"best.{DATE}").alias(DATE), F.col(f"best.{name}").alias(name))
-    return latest if ids is None else latest.join(ids.select(ENTITY), ENTITY, "left_semi")
+    last = rows.groupBy(F.col(ENTITY).alias("_entity")).agg(F.max(DATE).alias("_day"))
+    if ids is not None:
+        last = last.join(ids.select(F.col(ENTITY).alias("_entity")), "_entity", "left_semi")
+    same = (F.col(ENTITY) == F.col("_entity")) & F.col(DATE).eqNullSafe(F.col("_day"))
+    chosen = rows.join(last, same).select(ENTITY, DATE, text.alias(name))
+    return chosen.groupBy(ENTITY, DATE).agg(F.max(name).alias(name))
 
 
 def last_note(notes: DataFrame, period: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -47,11 +50,14 @@ def by_category(notes: DataFrame, category: str, entities: DataFrame | None = No
 
 def one_per_day(notes: DataFrame, category: str) -> DataFrame:
     """One note of the category per entity and day: the first by row id."""
-    return (
-        notes.filter(F.col("category") == category)
-        .groupBy(ENTITY, DATE)
-        .agg(F.min("row_id").alias("row_id"), F.min_by("text", "row_id").alias("text"))
+    chosen = notes.filter(F.col("category") == category).select(ENTITY, DATE, "row_id", "text")
+    first = chosen.groupBy(F.col(ENTITY).alias("_entity"), F.col(DATE).alias("_day")).agg(F.min("row_id").alias("_row"))
+    same = (
+        F.col(ENTITY).eqNullSafe(F.col("_entity"))
+        & F.col(DATE).eqNullSafe(F.col("_day"))
+        & F.col("row_id").eqNullSafe(F.col("_row"))
     )
+    return chosen.join(first, same).select(ENTITY, DATE, "row_id", "text")
 
 
 def keyword_counts(notes: DataFrame, words: Sequence[str]) -> DataFrame:

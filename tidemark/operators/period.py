@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE, ENTITY
+from ..functions.dates import day
 from ..skew import spread_join
 from .normalize import union_all
 
@@ -52,7 +53,7 @@ def index_date(features: DataFrame, patients: DataFrame, prediction_days: int) -
     Only entities known to ``patients`` stay; features with any null are ignored.
     """
     last = features.na.drop("any").groupBy(ENTITY).agg(F.max(DATE).alias("last_event"))
-    known = patients.select(F.col("SUBJECT_ID").cast("bigint").alias(ENTITY), F.col("DOD").cast("date").alias("dod"))
+    known = patients.select(F.col("SUBJECT_ID").cast("bigint").alias(ENTITY), day(patients, "DOD").alias("dod"))
     return last.join(known, ENTITY).select(
         ENTITY, F.coalesce(F.date_sub("dod", prediction_days), F.col("last_event")).alias("index_date")
     )
@@ -71,15 +72,20 @@ def window_filter(
     """Rows dated inside their entity's window.
 
     ``half_open`` is ``earliest <= date < last``; ``closed`` includes both ends, ``open`` neither.
-    Entities without a window are dropped.
+    Entities without a window are dropped. Both sides are joined by entity alone, so a grouping by entity and feature above
+    needs no further shuffle, and adaptive execution splits an entity whose measured rows are too many,
+    whatever their dates. ``spread_by`` salts the join instead, for entities known to be that large.
     """
-    day, earliest, last = F.col(DATE), F.col("earliest"), F.col("last")
+    at, earliest, last = F.col(DATE), F.col("earliest"), F.col("last")
     inside = {
-        "half_open": (day >= earliest) & (day < last),
-        "closed": (day >= earliest) & (day <= last),
-        "open": (day > earliest) & (day < last),
+        "half_open": (at >= earliest) & (at < last),
+        "closed": (at >= earliest) & (at <= last),
+        "open": (at > earliest) & (at < last),
     }[bounds]
-    joined = spread_join(events, period, ENTITY, spread_by=spread_by or [DATE], where=inside)
+    if spread_by:
+        joined = spread_join(events, period, ENTITY, spread_by=spread_by, where=inside)
+    else:
+        joined = events.join(period, ENTITY).filter(inside)
     return joined.select(*events.columns)
 
 

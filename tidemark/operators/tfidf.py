@@ -36,13 +36,13 @@ def tfidf(
 
     ``idf = ln((1 + n) / (1 + df)) + 1``; each document's weights have length 1. The texts are
     split and counted once: the vocabulary and the weights read the same exchange. The
-    vocabulary has ``size`` rows and is broadcast.
+    vocabulary has ``size`` rows; the planner broadcasts it if that is small.
     """
     counts = term_counts(docs, text, stop_words)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     terms = vocabulary(counts, size).select("term", idf.alias("idf"))
-    weighted = counts.join(F.broadcast(terms), "term").select(ENTITY, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = counts.join(terms, "term").select(ENTITY, "term", (F.col("tf") * F.col("idf")).alias("w"))
     # at most `size` entries per document
     packed = weighted.groupBy(ENTITY).agg(
         F.collect_list(F.struct("term", "w")).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")

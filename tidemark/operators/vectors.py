@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ENTITY
-from ..sources.writers import append_embeddings, embeddings_or_empty, missing_entities
+from ..sources.writers import embeddings_or_empty, missing_entities
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -24,11 +26,11 @@ class HashingEncoder:
     """A deterministic stand-in for a language model.
 
     A word's vector is 1 or -1 at one position, both taken from its MD5; a text's vector is the mean
-    over its words. Whole texts are read unless ``max_tokens`` asks for a cut.
+    over its words.
     """
 
-    def __init__(self, width: int = 32, max_tokens: int | None = None):
-        self.width, self.max_tokens = width, max_tokens
+    def __init__(self, width: int = 32):
+        self.width = width
 
     def _cell(self, word: str) -> int:
         """The word's position, moved up by the width when its sign is negative."""
@@ -38,7 +40,7 @@ class HashingEncoder:
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width))
         for row, text in enumerate(texts):
-            words = re.findall(r"\w+", (text or "").lower(), flags=re.ASCII)[: self.max_tokens]
+            words = re.findall(r"\w+", (text or "").lower(), flags=re.ASCII)
             if words:
                 counts = np.zeros(2 * self.width)
                 for word, times in Counter(words).items():
@@ -47,10 +49,6 @@ class HashingEncoder:
         return out
 
 
-# worker tasks need not have this package installed to use the encoder
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def embed_text(
     docs: DataFrame, make_encoder: Callable[[], Encoder], text: str = "to_tok", tasks: int | None = None
 ) -> DataFrame:
@@ -60,6 +58,8 @@ def embed_text(
     ``tasks`` spreads the texts first; without it a small table of texts may be few tasks,
     which is too few for a slow encoder.
     """
+    # worker tasks need not have this package installed to use the encoder
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     docs = docs.select(ENTITY, text)
     if tasks:
         docs = docs.repartition(tasks, ENTITY)
@@ -75,38 +75,32 @@ def embed_text(
     return docs.select(ENTITY, once(F.col(text)).alias("vec"))
 
 
-def mean_by_position(token_vectors: DataFrame, mask: str | None = None) -> DataFrame:
-    """``(entity_id, pos, mean)``: the mean of an entity's vectors, one row per position.
+def mean_pool(token_vectors: DataFrame, mask: str | None = None) -> DataFrame:
+    """``(entity_id, vec)``: the mean of an entity's vectors, as an array of the input's width.
 
-    All vectors count unless ``mask`` names a boolean column. Sums are combined on each task
-    before the shuffle, so an entity with very many vectors sends few rows.
+    All vectors count unless ``mask`` names a boolean column. A task holds one running mean per entity,
+    so an entity with very many vectors sends one row per task.
     """
     rows = token_vectors.filter(F.col(mask)) if mask else token_vectors
-    return (
-        rows.select(ENTITY, F.posexplode("vec").alias("pos", "x"))
-        .groupBy(ENTITY, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    )
+    wide = rows.select(ENTITY, array_to_vector(F.col("vec").cast("array<double>")).alias("vec"))
+    return wide.groupBy(ENTITY).agg(Summarizer.mean(F.col("vec")).alias("mean")).select(ENTITY, vector_to_array("mean").alias("vec"))
 
 
-def mean_pool(token_vectors: DataFrame, mask: str | None = None) -> DataFrame:
-    """``(entity_id, vec)``: the mean vector as an array of the input's width."""
-    cells = F.sort_array(F.collect_list(F.struct("pos", "mean")))
-    return (
-        mean_by_position(token_vectors, mask)
-        .groupBy(ENTITY)
-        .agg(cells.alias("cells"))
-        .select(ENTITY, F.col("cells.mean").alias("vec"))
-    )
+def mean_by_position(token_vectors: DataFrame, mask: str | None = None) -> DataFrame:
+    """``(entity_id, pos, mean)``: the mean vector, one row per position."""
+    return mean_pool(token_vectors, mask).select(ENTITY, F.posexplode("vec").alias("pos", "mean"))
 
 
 def update_embedding_store(
     docs: DataFrame, path: str, make_encoder: Callable[[], Encoder], text: str = "to_tok", tasks: int | None = None
 ) -> DataFrame:
-    """Encode only the entities the store lacks, append them, and return the whole store."""
+    """Encode only the entities the store lacks, append them, and return the whole store.
+
+    ``docs`` holds one row per entity. What the store has is looked up once, by id, before anything is encoded.
+    """
     spark = docs.sparkSession
     todo = missing_entities(docs, embeddings_or_empty(spark, path))
-    append_embeddings(embed_text(todo, make_encoder, text, tasks), path)
+    embed_text(todo, make_encoder, text, tasks).write.mode("append").parquet(path)
     return embeddings_or_empty(spark, path)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
-from ..sources.readers import read_csv, spread_if_few
+from ..sources.readers import CORRUPT, read_csv, with_corrupt_column
 from ..sources.writers import write_parquet
 from .records import Records
 
@@ -36,14 +37,24 @@ def read_extract(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def load_records(spark: SparkSession, base: str) -> Records:
-    """All extracts below ``base``. A gzip file is read by one task and spread after it; convert large ones first."""
-    return Records(**{table: spread_if_few(read_extract(spark, base, table), "ROW_ID") for table in FILES})
+    """All extracts below ``base``. A gzip file is read by one task; :func:`convert` large ones first."""
+    return Records(**{table: read_extract(spark, base, table) for table in FILES})
 
 
-def convert(spark: SparkSession, base: str, out: str, files: int) -> None:
-    """Rewrite the extracts as Parquet in ``files`` parts each, for all later runs."""
+def convert(spark: SparkSession, base: str, out: str, files: int) -> dict[str, int]:
+    """Rewrite the extracts as Parquet in ``files`` parts each, for all later runs.
+
+    Returns how many lines of each table did not fit their types. Those lines are kept, with null where a field
+    is unreadable, and stand as text in a column of the written table.
+    """
+    misfits = {}
     for table in FILES:
-        write_parquet(read_extract(spark, base, table), f"{out}/{table}", files)
+        schema = with_corrupt_column(SCHEMAS[table])
+        rows = read_csv(spark, f"{base}/{FILES[table]}", schema, multi_line=table == "notes")
+        write_parquet(rows, f"{out}/{table}", files)
+        written = spark.read.schema(schema).parquet(f"{out}/{table}")
+        misfits[table] = written.filter(F.col(CORRUPT).isNotNull()).count()
+    return misfits
 
 
 def load_converted(spark: SparkSession, base: str) -> Records:

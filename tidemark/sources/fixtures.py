@@ -59,14 +59,14 @@ SELECT o.o_custkey AS SUBJECT_ID, l.l_orderkey AS HADM_ID,
     WHEN 3 THEN '>' || CAST(CAST(l.l_quantity AS INT) AS STRING)
     WHEN 4 THEN '1,' || LPAD(CAST(CAST(l.l_quantity AS INT) AS STRING),3,'0')
     WHEN 5 THEN CAST(CAST(l.l_quantity AS INT) AS STRING) || '-'
-    WHEN 6 THEN '500/50' ELSE NULL END AS DOSE_VAL_RX
+    WHEN 6 THEN '3/4' ELSE NULL END AS DOSE_VAL_RX
 FROM {lineitem} l JOIN {orders} o ON o.o_orderkey=l.l_orderkey""",
     "procedure_orders": """
 SELECT o.o_custkey AS SUBJECT_ID, l.l_orderkey AS HADM_ID,
   CASE WHEN l.l_partkey % 53 = 0 THEN NULL ELSE LPAD(CAST(l.l_partkey % 120 AS STRING), 6, '0') END AS GSN,
   l.l_shipdate AS STARTDATE,
-  CASE WHEN l.l_linenumber <= 4 THEN CAST(l.l_quantity / 4 AS STRING) WHEN l.l_linenumber = 5 THEN 'Hold Dose'
-    WHEN l.l_linenumber = 6 THEN '500/50' ELSE NULL END AS DOSE_VAL_RX
+  CASE WHEN l.l_linenumber <= 4 THEN CAST(l.l_quantity / 4 AS STRING) WHEN l.l_linenumber = 5 THEN 'as needed'
+    WHEN l.l_linenumber = 6 THEN '3/4' ELSE NULL END AS DOSE_VAL_RX
 FROM {lineitem} l JOIN {orders} o ON o.o_orderkey=l.l_orderkey""",
     "microbiology": """
 SELECT e.event_id AS ROW_ID, e.user_id AS SUBJECT_ID,

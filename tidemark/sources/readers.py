@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..skew import spread_join
 
+CORRUPT = "_corrupt"
+
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False, header: bool = True
@@ -18,21 +20,19 @@ def read_csv(
 
     A gzip file is one task however large it is, so convert it once: ``read_csv(...)`` then
     ``writers.write_parquet``. Without a schema the types are inferred, which costs a second pass.
+    With one, header names must be the schema's, in its order: a reordered extract is an error, not a
+    wrong result. A line that does not fit has null where a field is unreadable; a string column
+    :data:`CORRUPT` in the schema then holds the line, so that it can be counted.
     """
     reader = spark.read.option("header", header).option("escape", '"').option("multiLine", multi_line)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
-
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    return reader.option("enforceSchema", not header).option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
 
-def spread_if_few(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows by ``key`` when a scan has fewer splits than the cluster has cores.
 
-    One gzip file or a few large ones would leave costly text work to a few tasks. A scan with
-    splits enough, as any large table has, is left alone and not shuffled. ``df`` is a scan with
-    projections and filters at most: splits can be counted there without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def with_corrupt_column(schema: T.StructType) -> T.StructType:
+    """The schema with a last column for lines that do not fit it."""
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def read_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
