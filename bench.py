@@ -31,6 +31,8 @@ HEADLINES = (
     "embedding_mean_pool",
     "roc_auc",
     "cohort_auc",
+    "sparse_matrix",
+    "svmlight_lines",
 )
 
 

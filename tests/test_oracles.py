@@ -7,13 +7,17 @@ from conftest import SMALL
 from __spark_entry__ import entry, oracle_sql, queries
 
 ORACLES = oracle_sql()
+MAY_BE_EMPTY = {"period_parity", "code_group_events", "code_group_entities"}
 SLOW_MODELS = {"rf_scores", "model_roundtrip", "feature_importance", "select_and_retrain", "select_by_mean_importance"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES.keys() - SLOW_MODELS))
 def test_same_rows_as_sql(spark, name):
-    out = compare(spark, SMALL, name, queries()[name], ORACLES[name])
+    # thresholds leave nothing at the smallest scale for these two
+    folder = "/root/testdata/sf0.01" if name in ("med_features", "sink_csv") else SMALL
+    out = compare(spark, folder, name, queries()[name], ORACLES[name])
     assert out["ok"], out
+    assert out["rows"] > 0 or name in MAY_BE_EMPTY
 
 
 def test_every_oracle_has_a_query():

@@ -13,6 +13,7 @@ from tidemark.operators import model, vectors
 from tidemark.plans import etl, modelling, raw
 from tidemark.plans.scaled import ScaledFeatures
 from tidemark.plans.records import restricted
+from tidemark.session import stage, staging
 from tidemark.sources import readers
 
 from conftest import SMALL
@@ -138,6 +139,18 @@ def test_raw_folder_and_sample(spark, study, tmp_path):
     assert spark.read.parquet(f"{out}/sample_ids").count() == 100
     built = {name: spark.read.parquet(f"{out}/{name}") for name in etl.OUTPUTS}
     assert built["labs_built"].select("entity_id").distinct().count() <= 100 and built["labs_built"].count() > 0
+    # the whole study on what was just written, with two encoders
+    results = str(tmp_path / "results")
+    encoders = ["--encoder", "a=tidemark.operators.vectors:HashingEncoder", "--encoder", "b=tidemark.operators.vectors:HashingEncoder"]
+    main(["etl", "--input", str(tmp_path), "--output", out, *low])
+    main(["model", "--input", str(tmp_path), "--output", results, "--features", out, "--trees", "5", "--depth", "4",
+          "--select-features", "20", *encoders, *low])
+    auc = {r.model: r.auc for r in spark.read.parquet(f"{results}/auc").collect()}
+    kinds = ("Baseline", "TF_IDF", "Embeddings_a", "Embeddings_b")
+    assert auc.keys() == {*kinds, *(f"{k}_logistic" for k in kinds), "Baseline_top", "Baseline_mean"}
+    assert all(0 <= v <= 1 for v in auc.values()) and auc["Embeddings_a"] == auc["Embeddings_b"]
+    assert {r.model for r in spark.read.parquet(f"{results}/cohort_auc").collect()} == auc.keys()
+    assert spark.read.parquet(f"{results}/importances").filter("importance > 0").count() > 0
 
 
 @pytest.mark.parametrize("partitions", [1, 8])
@@ -151,6 +164,15 @@ def test_partitioning_does_not_change_results(spark, name, partitions):
     assert got == sorted(map(str, QUERIES[name](spark, SMALL).collect()))
 
 
+def test_staged_data_goes_with_its_block(spark, study):
+    import os
+
+    with staging(spark) as scope:
+        kept = stage(study.ids, "ids")
+        assert kept.count() > 0 and os.path.isdir(scope.removeprefix("file:"))
+    assert not os.path.exists(scope.removeprefix("file:"))
+
+
 MODELS = {"rf_scores", "lr_scores", "model_roundtrip", "feature_importance", "select_and_retrain", "select_by_mean_importance"}
 
 

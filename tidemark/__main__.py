@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import importlib
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from .operators import cohort, evaluate, model
 from .plans import etl, modelling, raw
 from .plans.records import Study, restricted
 from .plans.scaled import ScaledFeatures
-from .session import tune
+from .session import staging, tune
 from .sources import writers
 
 
@@ -27,20 +29,32 @@ def _study(spark: SparkSession, args: argparse.Namespace) -> Study:
     return Study(records, params)
 
 
+def _factory(text: str) -> tuple[str, Callable]:
+    """``name=module:callable``; the callable makes an encoder on a worker."""
+    name, _, place = text.partition("=")
+    module, _, attribute = place.partition(":")
+    return name, getattr(importlib.import_module(module), attribute)
+
+
 def _model(spark: SparkSession, study: Study, args: argparse.Namespace) -> None:
-    """Baseline and TF-IDF forests on written features; AUC overall and by respiratory cohort."""
+    """All models on written features: AUC overall and by respiratory cohort, importances, saved forests."""
     built = {name: spark.read.parquet(f"{args.features}/{name}") for name in etl.OUTPUTS}
-    base = modelling.baseline_long(built["diag_built"], built["labs_built"], built["meds_built"])
-    terms = modelling.tfidf_long(built["last_note"], study.params.tfidf_terms)
-    fitted = {
-        "Baseline": modelling.train_kind(study, "Baseline", base),
-        "TF_IDF": modelling.train_kind(study, "TF_IDF", base, terms),
-    }
-    for kind, result in fitted.items():
-        model.save_model(result.model, f"{args.output}/models/{kind}")
-        evaluate.roc_auc(result.scores).withColumn("model", F.lit(kind)).show()
-        model.top_importances(result.model, result.matrix.codes, study.params.top_features).show(truncate=False)
-    modelling.compare(fitted, modelling.respiratory_entities(study)).show()
+    forest = model.random_forest(args.trees, args.depth, study.params.seed)
+    encoders = dict(map(_factory, args.encoder))
+    fitted = modelling.study_models(study, built, encoders, f"{args.output}/embeddings", forest)
+    auc = None
+    for name, result in fitted.items():
+        row = evaluate.roc_auc(result.scores).withColumn("model", F.lit(name))
+        auc = row if auc is None else auc.unionByName(row)
+        if result.model is not None:
+            model.save_model(result.model, f"{args.output}/models/{name}")
+        if hasattr(result.model, "featureImportances"):
+            top = model.top_importances(result.model, result.matrix.codes, study.params.top_features)
+            writers.write_parquet(top, f"{args.output}/importances/model={name}")
+    writers.write_parquet(auc, f"{args.output}/auc")
+    writers.write_parquet(modelling.compare(fitted, modelling.respiratory_entities(study)), f"{args.output}/cohort_auc")
+    for table in ("auc", "cohort_auc"):
+        spark.read.parquet(f"{args.output}/{table}").show(100, truncate=False)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -52,6 +66,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--features", help="output folder of etl, for model")
     parser.add_argument("--sample", type=int, help="work on this many entities")
     parser.add_argument("--files", type=int, default=64, help="parts per table, for convert")
+    parser.add_argument("--encoder", action="append", default=[], help="name=module:callable, for model; may be repeated")
+    parser.add_argument("--trees", type=int, default=100, help="of a forest, for model")
+    parser.add_argument("--depth", type=int, default=30, help="of a forest's trees, for model")
     for field in dataclasses.fields(StudyParams):
         flag = "--" + field.name.replace("_", "-")
         parser.add_argument(flag, type=type(field.default), default=field.default)
@@ -62,13 +79,14 @@ def main(argv: list[str] | None = None) -> None:
         for table, misfits in raw.convert(spark, args.input, args.output, args.files).items():
             print(f"{table}: {misfits} lines do not fit their types")
         return
-    study = _study(spark, args)
-    if args.command == "etl":
-        etl.run(study, args.output)
-    elif args.command == "scaled":
-        ScaledFeatures(study).write(args.output)
-    else:
-        _model(spark, study, args)
+    with staging(spark):
+        study = _study(spark, args)
+        if args.command == "etl":
+            etl.run(study, args.output)
+        elif args.command == "scaled":
+            ScaledFeatures(study).write(args.output)
+        else:
+            _model(spark, study, args)
 
 
 if __name__ == "__main__":

@@ -204,8 +204,9 @@ DERIVED: dict[str, str] = {
     "scaled_train": f"SELECT * FROM @scaled WHERE {train()}",
     "codes": """SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM (
   SELECT DISTINCT feature FROM @scaled_train)""",
-    "svm_cells": """SELECT entity_id, CASE WHEN p.DOD_SSN IS NULL THEN 0 ELSE 1 END AS label, c.idx, round(s.value, 6) AS value
-  FROM @scaled_train s JOIN @codes c ON c.feature = s.feature JOIN @patients p ON p.SUBJECT_ID = s.entity_id""",
+    "svm_cells": f"""SELECT entity_id, CASE WHEN {train()} THEN 'train' ELSE 'test' END AS part,
+  CASE WHEN p.DOD_SSN IS NULL THEN 0 ELSE 1 END AS label, c.idx, round(s.value, 6) AS value
+  FROM @scaled s JOIN @codes c ON c.feature = s.feature JOIN @patients p ON p.SUBJECT_ID = s.entity_id""",
     "vector_cells": """SELECT SUBJECT_ID AS entity_id, ARRIVAL AS arrival, unnest(VEC) AS x, generate_subscripts(VEC, 1) - 1 AS pos
   FROM @token_vectors""",
     "pooled": "SELECT entity_id, CAST(pos AS INT) AS pos, avg(CAST(x AS DOUBLE)) AS mean FROM @vector_cells GROUP BY entity_id, pos",
@@ -257,10 +258,13 @@ ORACLES: dict[str, str] = {
   UNION ALL SELECT 'diagnosis', entity_id, feature, CAST(1 AS DOUBLE) FROM @diag_built""",
     "cohort_freeze": "SELECT entity_id FROM @ids ORDER BY md5(CAST(entity_id AS VARCHAR) || ':1'), entity_id LIMIT 1000",
     "checkpoint": rounded_events("labs_in"),
-    "svmlight_lines": """SELECT entity_id, CAST(label AS VARCHAR) || ' ' || string_agg(CAST(idx AS VARCHAR) || ':' || printf('%.6f', value), ' ' ORDER BY idx)
-  || ' ' AS line FROM @svm_cells GROUP BY entity_id, label""",
-    "svmlight_read": """SELECT CAST(label AS DOUBLE) AS label, CAST(idx AS INT) AS idx, count(*) AS n, round(sum(value), 6) AS total
-  FROM @svm_cells GROUP BY label, idx""",
+    "svmlight_lines": """SELECT part, entity_id, CAST(label AS VARCHAR) || ' ' || string_agg(CAST(idx AS VARCHAR) || ':' || printf('%.6f', value), ' ' ORDER BY idx)
+  || ' ' AS line FROM @svm_cells GROUP BY part, entity_id, label""",
+    "svmlight_lines_with_id": """SELECT part, entity_id, CAST(entity_id AS VARCHAR) || ' ' || CAST(label AS VARCHAR) || ' '
+  || string_agg(CAST(idx AS VARCHAR) || ':' || printf('%.6f', value), ' ' ORDER BY idx) || ' ' AS line
+  FROM @svm_cells GROUP BY part, entity_id, label""",
+    "svmlight_read": """SELECT part, CAST(label AS DOUBLE) AS label, CAST(idx AS INT) AS idx, count(*) AS n, round(sum(value), 6) AS total
+  FROM @svm_cells WHERE value <> 0 GROUP BY part, label, idx""",
     "embedding_store_incremental": """
 WITH first AS (SELECT entity_id, CAST(pos AS INT) AS pos, avg(CAST(x AS DOUBLE)) AS mean FROM @vector_cells WHERE arrival = 0 GROUP BY entity_id, pos)
 SELECT entity_id, pos, round(mean, 6) AS value FROM first
@@ -308,8 +312,7 @@ UNION ALL SELECT entity_id, pos, round(mean, 6) FROM @pooled WHERE entity_id NOT
         {"": "value"},
     ),
     "feature_matrix_left": matrix_with_left(LAB_ITEMS, MICROBIOLOGY_ITEMS),
-    "max_scale": """SELECT entity_id, c.feature, round(value / m, 6) AS value FROM @f_lab c
-  JOIN (SELECT feature, max(value) AS m FROM @f_lab GROUP BY feature) x ON x.feature = c.feature WHERE m <> 0 AND value IS NOT NULL""",
+    "max_scale": "SELECT entity_id, feature, round(value, 6) AS value FROM @scaled",
     "note_labels": f"""
 WITH tokens AS ({token_rows('SECTION').replace('@notes', f'(SELECT ROW_ID, {section_first("TEXT")} AS SECTION FROM @notes)')}),
 joined AS (SELECT row_id, string_agg(token, ' ' ORDER BY pos) AS words FROM tokens GROUP BY row_id)
@@ -328,8 +331,7 @@ JOIN @ids i ON i.entity_id = n.entity_id LEFT JOIN @outcomes o ON o.entity_id =
         f"SELECT entity_id, feature || '_{i}' AS feature, round({a}(value), 6) AS value FROM @labs_in GROUP BY entity_id, feature"
         for i, a in enumerate(["avg", "max", "min"])
     ),
-    "process_family": """SELECT entity_id, feature, round(value, 6) AS value FROM @f_lab
-  UNION ALL SELECT entity_id, feature, round(value, 6) FROM @f_proc""",
+    "process_family": "SELECT entity_id, feature, round(value, 6) AS value FROM @combined",
     "value_counts": "SELECT category, count(*) AS n FROM @note_rows GROUP BY category",
     "cohort_label_counts": "SELECT respiratory, label, count(*) AS n FROM @score_rows GROUP BY 1, 2",
     "category_presence": "SELECT entity_id, " + ", ".join(f'"{c}" AS {c.lower().replace(" ", "_")}' for c in CATEGORIES) + " FROM @presence",
@@ -384,8 +386,13 @@ FROM s JOIN n ON n.entity_id = s.entity_id GROUP BY s.entity_id, pos HAVING sum(
   LEFT JOIN @outcomes o ON o.entity_id = m.entity_id""",
     "labels_alt": "SELECT SUBJECT_ID AS entity_id, CASE WHEN DOD_SSN IS NULL THEN 0 ELSE 1 END AS label FROM @patients",
     "training_matrix": matrix_cells(
-        """SELECT * FROM @lab_means UNION ALL SELECT entity_id, 'EMBED_' || CAST(pos AS VARCHAR), mean FROM @pooled
-  WHERE entity_id IN (SELECT entity_id FROM @lab_means)""",
+        """SELECT * FROM @baseline UNION ALL SELECT entity_id, 'EMBED_' || CAST(pos AS VARCHAR), mean FROM @pooled
+  WHERE entity_id IN (SELECT entity_id FROM @baseline)""",
+        label=True,
+    ),
+    "training_matrix_tfidf": matrix_cells(
+        f"""SELECT * FROM @baseline UNION ALL SELECT entity_id, feature, value FROM (
+  {tfidf("SELECT entity_id, clean_text AS text FROM @last_notes")}) WHERE entity_id IN (SELECT entity_id FROM @baseline)""",
         label=True,
     ),
     "model_roundtrip": f"""SELECT b.entity_id, CASE WHEN o.entity_id IS NULL THEN 0 ELSE 1 END AS label, 1 AS same_score

@@ -200,26 +200,40 @@ def checkpoint(t):
     return stage(rounded_events(t.inside(t.labs)), "labs_in_window")
 
 
+def _svmlight(t, **form) -> tuple[dict[str, DataFrame], int]:
+    """Lines of the training and the test part, and the width of the matrix; ids come from training features."""
+    plan = ScaledFeatures(t)
+    scaled = stage(plan.scaled(), "scaled")
+    codes = stage(features.codemap(scaled.filter(t.train)), "codemap")
+    parts = {"train": scaled.filter(t.train), "test": scaled.filter(~t.train)}
+    return {n: features.svmlight_lines(rows, codes, plan.labels(), **form) for n, rows in parts.items()}, codes.count()
+
+
+def _both_parts(parts: dict[str, DataFrame]) -> DataFrame:
+    return normalize.union_all(*[rows.withColumn("part", F.lit(name)) for name, rows in parts.items()])
+
+
 @query
 def svmlight_lines(t):
-    return _svmlight(t)[0]
+    return _both_parts(_svmlight(t)[0])
 
 
-def _svmlight(t):
-    plan = ScaledFeatures(t)
-    train = stage(plan.scaled().filter(t.train), "scaled_train")
-    codes = features.codemap(train)
-    return features.svmlight_lines(train, codes, plan.labels()), codes
+@query
+def svmlight_lines_with_id(t):
+    return _both_parts(_svmlight(t, entity_prefix=True)[0])
 
 
 @query
 def svmlight_read(t):
-    path = t.path("features.train")
-    writers.write_svmlight(_svmlight(t)[0], path)
-    rows = readers.read_svmlight(t.spark, path)
-    cells = rows.select("label", F.inline(F.arrays_zip("indices", "values"))).withColumnRenamed("indices", "idx")
-    return cells.groupBy("label", "idx").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("values"), 6).alias("total")
+    """Both parts written with ids from one and read again with the declared width; the reader may drop stored zeros."""
+    parts, width = _svmlight(t, index_base=1)
+    back = {}
+    for name, lines in parts.items():
+        path = t.path(f"features.{name}")
+        writers.write_svmlight(lines, path)
+        back[name] = features.vector_cells(readers.read_libsvm(t.spark, path, width))
+    return _both_parts(back).filter(F.col(VALUE) != 0).groupBy("part", "label", "idx").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(VALUE), 6).alias("total")
     )
 
 
@@ -397,7 +411,7 @@ def feature_matrix_left(t):
 
 @query
 def max_scale(t):
-    return rounded_long(features.max_scale(ScaledFeatures(t).processed("lab")))
+    return rounded_long(ScaledFeatures(t).scaled())
 
 
 @query
@@ -460,8 +474,7 @@ def multi_agg_long(t):
 
 @query
 def process_family(t):
-    plan = ScaledFeatures(t)
-    return rounded_long(plan.processed("lab").unionByName(plan.processed("procedure")))
+    return rounded_long(ScaledFeatures(t).combined())
 
 
 @query
@@ -670,7 +683,15 @@ def labels_alt(t):
 @query
 def training_matrix(t):
     extra = vectors.as_long(vectors.mean_pool(t.token_vectors))
-    matrix = model.training_matrix(model.training_long("Embeddings", t.lab_means, extra), t.outcomes)
+    matrix = model.training_matrix(model.training_long("Embeddings", stage(t.baseline, "baseline"), extra), t.outcomes)
+    return _vector_cells(matrix.rows)
+
+
+@query
+def training_matrix_tfidf(t):
+    chosen = stage(notes.last_note(t.notes, t.period, t.ids), "last_note")
+    extra = modelling.tfidf_long(chosen, PARAMS.tfidf_terms)
+    matrix = model.training_matrix(model.training_long("TF_IDF", stage(t.baseline, "baseline"), extra), t.outcomes)
     return _vector_cells(matrix.rows)
 
 
@@ -687,7 +708,7 @@ def rf_scores(t):
 
 @query
 def lr_scores(t):
-    matrix = model.training_matrix(t.lab_means, t.outcomes)
+    matrix = model.training_matrix(ScaledFeatures(t).scaled(), t.outcomes)
     return model.fit_and_score(matrix.rows, model.logistic_regression(), t.train)[1]
 
 

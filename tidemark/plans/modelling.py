@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.ml.base import Estimator
@@ -47,6 +48,39 @@ def train_kind(
     return Fitted(fitted, stage(scores, f"scores_{kind}"), matrix)
 
 
+def retrain(study: Study, fitted: Fitted, max_features: int | None, classifier: Estimator | None = None) -> Fitted:
+    """Fit again on the most important features, or on those at or above the mean importance."""
+    refit, scores, _ = model.select_and_retrain(
+        fitted.matrix.rows, fitted.model, fitted.matrix.width, classifier or model.random_forest(), study.train, max_features
+    )
+    return Fitted(refit, stage(scores, "scores_selected"), fitted.matrix)
+
+
+def study_models(
+    study: Study,
+    built: dict[str, DataFrame],
+    encoders: Mapping[str, Callable[[], vectors.Encoder]],
+    store: str,
+    forest: Estimator | None = None,
+    logistic: Estimator | None = None,
+) -> dict[str, Fitted]:
+    """Every model of the study by name: structured features alone, with TF-IDF, with each encoder's vectors; the same by
+    logistic regression; and the structured forest again on selected features."""
+    base = stage(baseline_long(built["diag_built"], built["labs_built"], built["meds_built"]), "baseline")
+    extras = {"Baseline": None, "TF_IDF": stage(tfidf_long(built["last_note"], study.params.tfidf_terms), "tfidf")}
+    for name, make in encoders.items():
+        extras[f"Embeddings_{name}"] = embedding_long(built["last_note_tokenized"], f"{store}/{name}", make)
+    fitted = {}
+    for name, extra in extras.items():
+        kind = name.split("_")[0] if name.startswith("Embeddings") else name
+        fitted[name] = train_kind(study, kind, base, extra, forest)
+        _, scores = model.fit_and_score(fitted[name].matrix.rows, logistic or model.logistic_regression(), study.train)
+        fitted[f"{name}_logistic"] = Fitted(None, stage(scores, f"scores_{name}_logistic"), fitted[name].matrix)
+    fitted["Baseline_top"] = retrain(study, fitted["Baseline"], study.params.select_features, forest)
+    fitted["Baseline_mean"] = retrain(study, fitted["Baseline"], None, forest)
+    return fitted
+
+
 def respiratory_entities(study: Study) -> DataFrame:
     """Entities with a respiratory diagnosis strictly inside their window."""
     coded = study.diagnoses.filter(F.col(FEATURE).isNotNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,7 @@ _SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings the operators rely on; cluster sizing is left alone."""
+    """Apply the run-time settings the operators rely on to the caller's session; cluster sizing is left alone."""
     for key, setting in _SETTINGS.items():
         spark.conf.set(key, setting)
     return spark
@@ -54,9 +56,29 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_scopes: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
+    """A path in the shared folder that nothing else uses; inside :func:`staging` it is one that goes with the block."""
+    base = _scopes[-1] if _scopes else shared_dir(spark)
+    return f"{base}/tidemark-{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Delete what is staged in the block when it ends. Frames made inside must be written by then.
+
+    One plan at a time: the scope belongs to the process, not to a thread.
+    """
+    scope = f"{shared_dir(spark)}/tidemark-run-{uuid.uuid4().hex}"
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        path = spark._jvm.org.apache.hadoop.fs.Path(scope)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
