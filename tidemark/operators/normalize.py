@@ -71,18 +71,12 @@ def join_admission_date(diagnoses: DataFrame, admissions: DataFrame) -> DataFram
     return diagnoses.join(admissions.select("HADM_ID", "ADMITTIME"), "HADM_ID")
 
 
-def rolled_up_diagnoses(
-    diagnoses: DataFrame, admissions: DataFrame, prefix: str = "DIAG_", distinct: bool = True
-) -> DataFrame:
-    """Main-digit codes, each once per entity and day: four characters for E codes, else three.
-
-    ``distinct=False`` leaves repeats in and saves a shuffle where only dates matter.
-    """
+def rolled_up_diagnoses(diagnoses: DataFrame, admissions: DataFrame, prefix: str = "DIAG_") -> DataFrame:
+    """Main-digit codes, each once per entity and day: four characters for E codes, else three."""
     code = F.col("ICD9_CODE")
     main = F.when(code.startswith("E"), F.substring(code, 1, 4)).otherwise(F.substring(code, 1, 3))
     dated = join_admission_date(drop_null_keys(diagnoses, ["ICD9_CODE"]).select("SUBJECT_ID", "HADM_ID", "ICD9_CODE"), admissions)
-    events = dated.select(_event(day(dated, "ADMITTIME"), _named(prefix, main), F.lit(1.0)))
-    return events.distinct() if distinct else events
+    return dated.select(_event(day(dated, "ADMITTIME"), _named(prefix, main), F.lit(1.0))).distinct()
 
 
 def labs(labevents: DataFrame, prefix: str = "LAB_") -> DataFrame:

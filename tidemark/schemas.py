@@ -21,6 +21,7 @@ def _struct(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+# Names, order and types of the extracts' columns.
 PATIENTS = _struct("ROW_ID BIGINT, SUBJECT_ID BIGINT, GENDER STRING, DOB STRING, DOD STRING, DOD_HOSP STRING, "
                    "DOD_SSN STRING, EXPIRE_FLAG INT")
 ADMISSIONS = _struct("ROW_ID BIGINT, SUBJECT_ID BIGINT, HADM_ID BIGINT, ADMITTIME STRING, DISCHTIME STRING, "
