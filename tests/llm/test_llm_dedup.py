@@ -115,11 +115,56 @@ def test_one_large_cell(flips):
         values ^= np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)
     values = np.unique(values)
     values = values[np.argsort(simhash._gray_rank(values))]
-    got = simhash.link_cells(np.zeros(len(values), int), values, 4)
+    got = simhash.link_cells(np.zeros(len(values), int), values[:, None], 4)
     want = plain_components(dict(enumerate(values.tolist())), 4)
     assert got.tolist() == list(want.values())
 
 
+def test_one_large_cell_of_wide_prints():
+    rng = np.random.default_rng(8)
+    bits = np.repeat(rng.integers(0, 2, (40, 256)), 20, axis=0) ^ (rng.random((800, 256)) < 0.07)
+    values = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+    values = values[np.argsort(simhash._gray_rank(values[:, 0]))]
+    close = np.bitwise_count(values[:, None] ^ values[None, :]).sum(axis=2) <= 38
+    want = np.arange(800)
+    while True:
+        fresh = np.array([want[row].min() for row in close])
+        if (fresh == want).all():
+            break
+        want = fresh
+    assert simhash.link_cells(np.zeros(800, int), values, 38).tolist() == want.tolist()
+    assert 20 < len(set(want)) < 200
+
+
+def test_wide_prints_find_likeness(spark):
+    """Families of edited texts: pairs of likeness 0.8 or more are found, unlike texts stay apart."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(80):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 500))]
+        edited = list(base)
+        for _ in range(max(1, int(len(base) * rng.uniform(0.002, 0.021)))):
+            edited[rng.randrange(len(base))] = f"x{rng.randrange(3000)}"
+        rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join(edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    distance = simhash.bits_apart(0.8, 256)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, 5, distance, width=4).collect()}
+    assert all(root // 2 == i // 2 for i, root in got.items())
+
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    texts = dict(rows)
+    alike = [i for i in range(0, 160, 2) if len(grams(texts[i]) & grams(texts[i + 1])) >= 0.8 * len(grams(texts[i]) | grams(texts[i + 1]))]
+    assert len(alike) > 50 and sum(got[i + 1] == i for i in alike) >= 0.9 * len(alike)
+
+
+def test_first_word_of_a_wide_print_is_the_narrow_one():
+    text = b"one two three four five six seven"
+    assert simhash.simhash(text, 4, 4)[:1] == simhash.simhash(text, 4) and len(set(simhash.simhash(text, 4, 4))) == 4
+
+
 def test_masks_cover_every_difference():
     rng = random.Random(2)
     for blocks, distance in ((6, 4), (5, 3), (8, 4)):

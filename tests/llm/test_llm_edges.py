@@ -58,6 +58,7 @@ OPERATORS = {
     "mixing": lambda s, d, t: mixing.mix(d),
     "pieces": lambda s, d, t: pieces.encoded_documents(d, t),
     "simhash": lambda s, d, t: simhash.near_groups(d),
+    "simhash_wide": lambda s, d, t: simhash.near_groups(d, 5, 44, width=4),
     "language": lambda s, d, t: langid.predict(d, langid.fit(d)),
     "html": lambda s, d, t: html_text.extract(d, "doc_id", "text"),
 }

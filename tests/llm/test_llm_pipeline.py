@@ -4,7 +4,6 @@ from collections import defaultdict
 
 import pytest
 from conftest import SMALL
-from test_llm_dedup import plain_components, plain_simhash
 
 import corpus_pipeline
 from tidemark.llm import langid, mixing
@@ -44,9 +43,16 @@ def test_exact_dedup_keeps_the_largest_id(stages):
 
 
 def test_near_dedup_keeps_one_of_each_group(stages):
-    before = texts(stages[2])
-    roots = plain_components({i: plain_simhash(t, 4) for i, t in before.items()}, 4)
-    assert set(texts(stages[3])) == set(roots.values())
+    before, kept = texts(stages[2]), set(texts(stages[3]))
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in before.items())}
+    ids = sorted(before)
+    likeness = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in ids for b in ids if a < b}
+    alike = [pair for pair, x in likeness.items() if x >= 0.8]
+    # the index is probabilistic (recall is tested on families of edited texts): most of the few pairs here are found
+    assert alike and sum(b not in kept for _, b in alike) >= 0.5 * len(alike)
+    # what went has a like document with a smaller id; the estimate may take one a little below 0.8
+    gone = set(ids) - kept
+    assert all(any(likeness[a, b] > 0.5 for a in ids if a < b) for b in gone)
 
 
 def test_mixing_repeats_documents(stages):

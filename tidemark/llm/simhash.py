@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +21,55 @@ _SEED = 42
 _FAN = 8  # children of an index node
 
 
-def simhash(text: bytes, words: int) -> int:
-    """Bit-wise majority of the shingles' hashes; a bit is 1 if set in over half of them."""
+def _remix(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Other 64 bits of the same shingles: each hash goes through an invertible mixer, offset by ``turn``."""
+    if not turn:
+        return hashes
+    mixed = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def simhash(text: bytes, words: int, width: int = 1) -> list[int]:
+    """Bit-wise majority of the shingles' hashes, as ``width`` words of 64 bits; a bit is 1 if set in over half of them."""
     tokens = text.lower().split()  # bytes: white space is space and 9-13, lower-casing is A-Z
     if not tokens:
-        return 0
+        return [0] * width
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(words, len(tokens))
+    length = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
-    cuts = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(line[a:b], _SEED) for a, b in cuts), np.uint64, len(tokens) - width + 1)
-    counts = np.zeros(64, np.int64)
+    cuts = zip(starts[: len(tokens) - length + 1].tolist(), ends[length - 1 :].tolist(), strict=True)
+    hashes = np.fromiter((digest(line[a:b], _SEED) for a, b in cuts), np.uint64, len(tokens) - length + 1)
+    counts = np.zeros((width, 64), np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        octets = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-    majority = np.packbits(counts * 2 > len(hashes))
-    return int.from_bytes(majority.tobytes(), "big", signed=True)
+        for turn in range(width):
+            octets = _remix(hashes[at : at + (1 << 16)], turn).astype(">u8").view(np.uint8).reshape(-1, 8)
+            counts[turn] += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
+    majority = np.packbits(counts * 2 > len(hashes), axis=1)
+    return [int.from_bytes(word.tobytes(), "big", signed=True) for word in majority]
+
+
+def print_columns(width: int) -> list[str]:
+    return [f"fp{i}" for i in range(width)]
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, fp`` (64 bits as a signed bigint) of every row.
+def bits_apart(similarity: float, bits: int) -> int:
+    """Differing bits up to which two prints count as similar, for sets of shingles of that Jaccard likeness.
+
+    Sets of likeness ``s`` have a cosine of about ``2s / (1 + s)``, and a bit differs with the probability of their angle
+    over pi. One standard deviation is added, so that most of the pairs at the limit itself are within it.
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return floor(bits * share + sqrt(bits * share * (1 - share)))
+
+
+def fingerprints(
+    docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text", width: int = 1
+) -> DataFrame:
+    """``doc_id, fp0, fp1, ...`` (``width`` columns of 64 bits as a signed bigint) of every row.
 
     Words are runs without ASCII white space after lower-casing A-Z, shingles keep repeats. A text with
     fewer words than a shingle is one shingle; one without words, or null, has fingerprint zero.
@@ -48,11 +77,13 @@ def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            fps = [simhash(t, words) for t in raw_texts(batch["text"])]
-            yield pa.record_batch([batch["doc_id"], pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [simhash(t, words, width) for t in raw_texts(batch["text"])]
+            columns = [pa.array([fp[i] for fp in fps], pa.int64()) for i in range(width)]
+            yield pa.record_batch([batch["doc_id"], *columns], ["doc_id", *names])
 
+    names = print_columns(width)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -66,6 +97,25 @@ def masks(blocks: int, distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(runs, blocks - distance)]
 
 
+def sampled_masks(width: int, bits: int, rounds: int) -> list[list[int]]:
+    """Masks over wide prints: each round shuffles all bit positions by a fixed seed and deals them out, ``bits`` to a mask."""
+    masks_, places = [], list(range(64 * width))
+    dealer = random.Random(_SEED)
+    for _ in range(rounds):
+        dealer.shuffle(places)
+        for at in range(0, len(places) - bits + 1, bits):
+            mask = [0] * width
+            for place in places[at : at + bits]:
+                mask[place // 64] |= 1 << place % 64
+            masks_.append(mask)
+    return masks_
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of prints, row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 def _gray_rank(values: np.ndarray) -> np.ndarray:
     """Place of a value in reflected Gray order: the prefix parity of its bits."""
     rank = values.copy()
@@ -96,12 +146,13 @@ def _link_neighbours(cell: np.ndarray, value: np.ndarray, distance: int, parent:
     its node pairs are then skipped as known.
     """
     large = np.flatnonzero(np.bincount(cell)[cell] > _FAN * _FAN) if len(cell) else np.zeros(0, int)
-    for turn in range(0, 64, 8) if len(large) else ():
-        left, right = np.uint64(turn), np.uint64((64 - turn) % 64)
-        rotated = (value[large] << left) | (value[large] >> right)
+    width = value.shape[1]
+    for turn in range(0, 64 * width, 8 * width) if len(large) else ():
+        word, left, right = value[large, turn // 64], np.uint64(turn % 64), np.uint64((64 - turn) % 64)
+        rotated = (word << left) | (word >> right)
         order = large[np.lexsort((_gray_rank(rotated), cell[large]))]
         a, b = order[:-1], order[1:]
-        near = (cell[a] == cell[b]) & (np.bitwise_count(value[a] ^ value[b]) <= distance)
+        near = (cell[a] == cell[b]) & (_apart(value[a], value[b]) <= distance)
         parent = _merge(parent, a[near], b[near])
     return parent
 
@@ -109,7 +160,7 @@ def _link_neighbours(cell: np.ndarray, value: np.ndarray, distance: int, parent:
 def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1 << 18) -> np.ndarray:
     """For each value the position of its group's first member; ``cell`` marks values to compare.
 
-    Values come sorted by cell and Gray rank. Upper nodes hold up to ``_FAN`` neighbours of one cell with
+    ``value`` has a row per print and a column per 64 bits of it. Values come sorted by cell and Gray rank. Upper nodes hold up to ``_FAN`` neighbours of one cell with
     the mask of bits they share and the shared pattern, so a node pair's differences on bits shared
     by both are a lower bound for all pairs below it. From the pairs (cell, cell) down, a pair of nodes is
     dropped when that bound exceeds ``distance``, taken whole when even the bits not shared cannot exceed it,
@@ -118,7 +169,7 @@ def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1
     """
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     parent = np.arange(len(value))
-    starts, owner, pattern, mask = np.arange(len(value)), cell, value, np.full(len(value), full)
+    starts, owner, pattern, mask = np.arange(len(value)), cell, value, np.full(value.shape, full)
     levels = [(starts, np.ones(len(value), np.int64), pattern, mask, np.zeros(len(value), np.int64))]
     while True:  # build: each level groups up to _FAN nodes of one cell
         heads = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
@@ -128,7 +179,7 @@ def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1
         index = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
         cuts = np.flatnonzero(index % _FAN == 0)
         both = np.bitwise_and.reduceat(mask, cuts)
-        every, some = np.bitwise_and.reduceat(pattern, cuts), np.bitwise_or.reduceat(pattern, cuts)
+        every, some = (op.reduceat(pattern, cuts) for op in (np.bitwise_and, np.bitwise_or))
         mask = both & ~(every ^ some)
         pattern, owner, starts = every & mask, owner[cuts], starts[cuts]
         below = np.diff(np.append(cuts, len(index)))
@@ -141,8 +192,8 @@ def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1
         level, a, b = waiting.pop()
         start, size, pattern, mask, children = levels[level]
         shared = mask[a] & mask[b]
-        apart = np.bitwise_count((pattern[a] ^ pattern[b]) & shared).astype(np.int64)
-        most = apart + 64 - np.bitwise_count(shared)
+        apart = _apart(pattern[a] & shared, pattern[b] & shared)
+        most = apart + _apart(shared, full)
         close = (apart <= distance) & ((a != b) | (size[a] > 1))
         taken = close & (most <= distance)
         if taken.any():
@@ -173,7 +224,7 @@ def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1
     return parent
 
 
-def _links_of(distance: int):
+def _links_of(distance: int, names: list[str]):
     """Links inside the sorted cells of a task; a cell is never cut between two calls."""
 
     def linked(cells: np.ndarray, values: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -186,7 +237,8 @@ def _links_of(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            fresh = [np.asarray(batch[c]) for c in ("mask", "key", "fp", "id")]
+            prints = np.stack([np.asarray(batch[c]) for c in names], axis=1).view(np.uint64)
+            fresh = [*(np.asarray(batch[c]) for c in ("mask", "key", "id")), prints]
             rows = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
             cells = np.stack(rows[:2], axis=1).astype(np.int64)
             if not len(cells):
@@ -195,11 +247,11 @@ def _links_of(distance: int):
             cut = int(other[-1]) + 1 if len(other) else 0
             # grow to a fair size before the vectorised search; the open cell stays for the next batch
             if cut >= 1 << 16:
-                yield linked(cells[:cut], rows[2][:cut].view(np.uint64), rows[3][:cut])
+                yield linked(cells[:cut], rows[3][:cut], rows[2][:cut])
                 rows = [x[cut:] for x in rows]
             held = rows
         if held is not None:
-            yield linked(np.stack(held[:2], axis=1).astype(np.int64), held[2].view(np.uint64), held[3])
+            yield linked(np.stack(held[:2], axis=1).astype(np.int64), held[3], held[2])
 
     return run
 
@@ -211,24 +263,39 @@ def gray_rank_column(fp):
     return fp
 
 
-def fingerprint_links(classes: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """``a, b``: ids of distinct fingerprints, enough links within ``distance`` bits to connect all that any link connects.
+def fingerprint_links(classes: DataFrame, distance: int = 4, blocks: int = 6, bits: int = 18, rounds: int = 5) -> DataFrame:
+    """``a, b``: ids of distinct fingerprints, links within ``distance`` bits that connect what they should.
+
+    ``classes`` holds ``id, fp0, ...`` with each fingerprint once. The index's upper nodes are masked patterns, dealt
+    out by Spark; within a cell rows arrive sorted by Gray rank and :func:`link_cells` builds the lower nodes. A
+    cell of many near copies costs nearly one visit per node, because groups already connected are not compared again.
 
-    ``classes`` holds ``id, fp`` with each fingerprint once. The index's upper nodes are the masked patterns of
-    :func:`masks`, dealt out by Spark: with 6 blocks and 4 bits there are 15 masks of about 21 bits, so a
-    fingerprint is sent 15 times and a pattern's cell holds one in two million fingerprints. More blocks
-    give longer patterns and more masks (8 blocks: 70 of 32 bits). Within a cell rows arrive sorted by
-    Gray rank and :func:`link_cells` builds the lower nodes. A cell of many near copies costs nearly one
-    visit per node, because groups already connected are not compared again.
+    Prints of 64 bits use :func:`masks` and lose no link: with 6 blocks and 4 bits there are 15 masks of about 21
+    bits, so a fingerprint is sent 15 times and a pattern's cell holds one in two million fingerprints. More blocks
+    give longer patterns and more masks (8 blocks: 70 of 32 bits). Wider prints, made for larger distances where no
+    such family is small, use :func:`sampled_masks`: two prints that differ in a share ``x`` of their bits meet unless
+    all masks separate them, which happens with probability ``(1 - (1 - x) ** bits) ** masks``. ``bits`` sets the size of a cell (one in two to the
+    ``bits`` of unlike prints): raise it with the logarithm of the documents, and ``rounds`` with it.
     """
-    chosen = masks(blocks, distance)
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]
+    names = [c for c in classes.columns if c != "id"]
+    chosen = sampled_masks(len(names), bits, rounds) if len(names) > 1 else [[m] for m in masks(blocks, distance)]
+    # a constant table of one row per mask
+    table = F.array(
+        *[
+            F.struct(F.lit(i).alias("mask"), *[F.lit(w - (1 << 64) if w >> 63 else w).alias(f"m{j}") for j, w in enumerate(m)])
+            for i, m in enumerate(chosen)
+        ]
     )
-    dealt = classes.select("id", "fp", gray_rank_column(F.col("fp")).alias("rank"), F.inline(cells))
-    sorted_cells = dealt.repartition(shuffle_tasks(classes), "mask", "key").sortWithinPartitions("mask", "key", "rank")
-    return sorted_cells.select("mask", "key", "fp", "id").mapInArrow(_links_of(distance), "a long, b long").distinct()
+    entries = classes.select("id", *names, F.inline(table))
+    patterns = [F.col(c).bitwiseAND(F.col(f"m{j}")) for j, c in enumerate(names)]
+    # unequal patterns with equal hashes may share a cell, where the distance is compared all the same
+    key = F.xxhash64(*patterns) if len(names) > 1 else patterns[0]
+    dealt = entries.select("mask", key.alias("key"), *names, "id").repartition(shuffle_tasks(classes), "mask", "key")
+    # the rank is made from the print after the shuffle
+    ranked = dealt.withColumn("rank", gray_rank_column(F.col(names[0])))
+    sorted_cells = ranked.sortWithinPartitions("mask", "key", "rank")
+    found = sorted_cells.select("mask", "key", *names, "id").mapInArrow(_links_of(distance, names), "a long, b long")
+    return found.distinct()
 
 
 def near_groups(
@@ -238,27 +305,28 @@ def near_groups(
     blocks: int = 6,
     id_column: str = "doc_id",
     text_column: str = "text",
+    width: int = 1,
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; the component is named by its smallest id.
 
-    Fingerprints link at ``distance`` or fewer differing bits, links chain. Texts of equal fingerprint are one class
-    before any comparison, so a large group of copies is one entry of the index. Null and empty texts
-    have fingerprint zero and link like others. A row with a null id gets its group's smallest id
+    Fingerprints of ``width`` times 64 bits link at ``distance`` or fewer differing bits, links chain. Texts of equal
+    fingerprint are one class before any comparison, so a large group of copies is one entry of the index. Null and
+    empty texts have fingerprint zero and link like others. A row with a null id gets its group's smallest id
     (null if there is none). Repeated rows are kept; an empty table gives an empty result.
     """
-    printed = stage(fingerprints(docs, words, id_column, text_column), "fingerprints")
-    classes = printed.groupBy("fp").agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull())
+    names = print_columns(width)
+    printed = stage(fingerprints(docs, words, id_column, text_column, width), "fingerprints")
+    classes = printed.groupBy(*names).agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull())
     roots = component_roots(fingerprint_links(classes, distance, blocks), "a", "b")
     # written, so that the join below reads plain rows and adaptive execution may split the key of many copies
     named = stage(
         classes.join(roots, F.col("id") == F.col("node"), "left").select(
-            F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id")
+            *names, F.coalesce("root", "id").alias("component_id")
         ),
         "named",
     )
-    return printed.join(named, F.col("fp") == F.col("_fp"), "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    hexes = [F.lower(F.lpad(F.hex(c), 16, "0")) for c in names]
+    return printed.join(named, names, "left").select("doc_id", F.concat(*hexes).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
