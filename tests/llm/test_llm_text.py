@@ -115,6 +115,17 @@ def test_rules_are_many_and_a_kept_interval_contains_no_other():
     assert [d.label for d in found] == ["lgpl-2.1", "gpl"] and len(set(spans)) == len(spans)
 
 
+def test_a_long_text_of_licences():
+    """Each of many places is found at its word, in a time that grows with the text."""
+    text = "licensed under the Apache License version 2.0 or the MIT license or cc by nc " * 4000
+    listed, words = line(text)
+    places = licenses.base_places(words)
+    width = len(listed) // 4000
+    assert sorted(places) == sorted((width * k + at, label) for k in range(4000) for at, label in ((3, "apache-2"), (9, "mit"), (13, "cc-by-nc")))
+    found = licenses.detect(words)
+    assert len(found) % 4000 == 0 and {d.first // width for d in found} == set(range(4000))
+
+
 # --- HTML ----------------------------------------------------------------------------------------
 
 

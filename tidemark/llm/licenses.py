@@ -143,8 +143,17 @@ class Detection:
     confidence: float
 
 
-def _word_at(line: bytes, position: int) -> int:
-    return line.count(b" ", 0, position) - 1
+class _Words:
+    """Word numbers of positions that come in ascending order, in one pass over the line."""
+
+    def __init__(self, line: bytes) -> None:
+        self._line, self._at, self._spaces = line, 0, 0
+
+    def before(self, position: int) -> int:
+        """Spaces ahead of ``position``."""
+        self._spaces += self._line.count(b" ", self._at, position)
+        self._at = position
+        return self._spaces
 
 
 def detect(line: bytes) -> list[Detection]:
@@ -162,14 +171,18 @@ def detect(line: bytes) -> list[Detection]:
             open_ = gates[rule.keywords] = any(k in line for k in rule.keywords)
         if not open_:
             continue
+        words = _Words(line)
         for match in rule.pattern.finditer(line):
-            first = _word_at(line, match.start())
+            first = words.before(match.start()) - 1
             found.append(Detection(rule.label, first, first + match[0].count(b" "), rule.priority, rule.confidence))
     found.sort(key=lambda d: (d.priority, d.first - d.last, d.first, d.label))
     kept: list[Detection] = []
+    reach: dict[int, int] = {}  # word to the last word of the kept intervals over it
     for one in found:
-        if not any(k.first <= one.first and one.last <= k.last for k in kept):
+        if reach.get(one.first, -1) < one.last:
             kept.append(one)
+            for word in range(one.first, one.last + 1):
+                reach[word] = max(reach.get(word, -1), one.last)
     return sorted(kept, key=lambda d: (d.first, d.last, d.label))
 
 
@@ -177,10 +190,10 @@ def base_places(line: bytes) -> list[tuple[int, str]]:
     """Word numbers at which a base phrase starts, with its label."""
     places = []
     for phrase, label in BASE.items():
-        wanted = f" {phrase} ".encode()
+        wanted, words = f" {phrase} ".encode(), _Words(line)
         at = line.find(wanted)
         while at >= 0:
-            places.append((line.count(b" ", 0, at), label))
+            places.append((words.before(at), label))
             at = line.find(wanted, at + 1)
     return places
 
