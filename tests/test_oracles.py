@@ -8,7 +8,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 ORACLES = oracle_sql()
 MAY_BE_EMPTY = {"period_parity", "code_group_events", "code_group_entities"}
-SLOW_MODELS = {"rf_scores", "model_roundtrip", "feature_importance", "select_and_retrain", "select_by_mean_importance"}
+SLOW_MODELS = {"model_roundtrip", "model_score_rows", "importance_check"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES.keys() - SLOW_MODELS))

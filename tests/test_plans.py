@@ -173,7 +173,10 @@ def test_staged_data_goes_with_its_block(spark, study):
     assert not os.path.exists(scope.removeprefix("file:"))
 
 
-MODELS = {"rf_scores", "lr_scores", "model_roundtrip", "feature_importance", "select_and_retrain", "select_by_mean_importance"}
+MODELS = {
+    "rf_scores", "lr_scores", "model_roundtrip", "model_score_rows", "feature_importance", "importance_check",
+    "select_and_retrain", "select_by_mean_importance",
+}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - MODELS))

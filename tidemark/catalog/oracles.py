@@ -9,7 +9,7 @@ import re
 
 from ..config import ENGLISH_STOP_WORDS, RESPIRATORY_GROUPS
 from ..sources.fixtures import VIEWS
-from .queries import CATEGORIES, ENCODER_WIDTH, KEYWORDS, LAB_ITEMS, MICROBIOLOGY_ITEMS, SECTION_TERM, VECTOR_WIDTH
+from .queries import CATEGORIES, ENCODER_WIDTH, KEYWORDS, LAB_ITEMS, MICROBIOLOGY_ITEMS, PARAMS, SECTION_TERM, VECTOR_WIDTH
 
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _TRAIN = "substr(md5(CAST({0} AS VARCHAR) || ':1'), 1, 8) < 'cccccccc'"
@@ -397,6 +397,14 @@ FROM s JOIN n ON n.entity_id = s.entity_id GROUP BY s.entity_id, pos HAVING sum(
     ),
     "model_roundtrip": f"""SELECT b.entity_id, CASE WHEN o.entity_id IS NULL THEN 0 ELSE 1 END AS label, 1 AS same_score
   FROM (SELECT DISTINCT entity_id FROM @baseline) b LEFT JOIN @outcomes o ON o.entity_id = b.entity_id WHERE NOT ({train('b.entity_id')})""",
+    "hashing_tfidf_mass": """SELECT n.row_id AS entity_id, COALESCE(j.n_terms, 0) AS n_terms FROM @note_rows n
+  LEFT JOIN (SELECT row_id, count(*) AS n_terms FROM @token_rows GROUP BY row_id) j ON j.row_id = n.row_id""",
+    "model_score_rows": f"""SELECT b.model, b.entity_id, CASE WHEN o.entity_id IS NULL THEN 0 ELSE 1 END AS label, 1 AS in_range
+  FROM (SELECT DISTINCT m.model, entity_id FROM @baseline, (VALUES ('forest'), ('mean_importance'), ('top_importance')) m(model)
+    UNION ALL SELECT DISTINCT 'logistic', entity_id FROM @scaled) b
+  LEFT JOIN @outcomes o ON o.entity_id = b.entity_id WHERE NOT ({train('b.entity_id')})""",
+    "importance_check": f"""SELECT least({PARAMS.top_features}, count(DISTINCT feature)) AS n_top, 1 AS descending,
+  CAST(1 AS DOUBLE) AS total FROM @baseline""",
     "roc_auc": auc("score_rows", ["score_a", "score_b"]),
     "cohort_auc": auc("score_rows", ["score_a", "score_b"], "respiratory"),
 }

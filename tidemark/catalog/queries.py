@@ -6,9 +6,10 @@ Doubles are rounded to six decimals, since sums depend on the order of rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DATE, ENGLISH_STOP_WORDS, ENTITY, FEATURE, VALUE, StudyParams
@@ -659,6 +660,14 @@ def hashing_tfidf(t):
     return _vector_cells(tfidf.hashing_tfidf(words).select(ENTITY, "features"))
 
 
+@query
+def hashing_tfidf_mass(t):
+    """Terms of a document over all its buckets, a number that no hash function changes."""
+    words = t.documents.select(ENTITY, tx.clean_tokens(F.col("text"), ENGLISH_STOP_WORDS).alias("words"))
+    total = F.aggregate(vector_to_array("raw_features"), F.lit(0.0), lambda x, y: x + y).cast("bigint")
+    return tfidf.hashing_tfidf(words).select(ENTITY, total.alias("n_terms"))
+
+
 @query
 def embed_text(t):
     docs = t.documents.select(ENTITY, tx.tokenizer_text(F.col("text")).alias("to_tok"))
@@ -745,6 +754,38 @@ def select_by_mean_importance(t):
     return model.select_and_retrain(matrix.rows, fitted, matrix.width, model.random_forest(), t.train)[1]
 
 
+@query
+def model_score_rows(t):
+    """Who is scored by each kind of model, with the label and whether the score is a probability."""
+    matrix, fitted, forest = _forest(t)
+
+    def again(size):
+        return model.select_and_retrain(matrix.rows, fitted, matrix.width, model.random_forest(), t.train, size)[1]
+
+    scored = {
+        "forest": forest,
+        "logistic": lr_scores(t),
+        "mean_importance": again(None),
+        "top_importance": again(PARAMS.select_features),
+    }
+    in_range = F.col("score").between(0, 1).cast("int").alias("in_range")
+    rows = [df.select(F.lit(name).alias("model"), ENTITY, "label", in_range) for name, df in scored.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def importance_check(t):
+    """Importances add up to one over all features, and the list of the highest is sorted and full."""
+    matrix, fitted, _ = _forest(t)
+    top = model.top_importances(fitted, matrix.codes, PARAMS.top_features)
+    above = top.select("importance", F.lag("importance").over(Window.orderBy(F.desc("importance"), FEATURE)).alias("above"))
+    listed = above.agg(
+        F.count(F.lit(1)).alias("n_top"), F.min(F.coalesce(F.col("above") >= F.col("importance"), F.lit(True)).cast("int")).alias("descending")
+    )
+    total = model.importances(fitted, matrix.codes).agg(F.sum("importance").alias("total")).select(r6("total"))
+    return listed.select("n_top", "descending", total.scalar().alias("total"))
+
+
 @query
 def roc_auc(t):
     long = evaluate.model_scores(t.scores, ["score_a", "score_b"], ["label"])
