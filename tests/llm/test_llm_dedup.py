@@ -160,6 +160,17 @@ def test_wide_prints_find_likeness(spark):
     assert len(alike) > 50 and sum(got[i + 1] == i for i in alike) >= 0.9 * len(alike)
 
 
+def test_a_shared_line_does_not_make_texts_alike(spark):
+    """Two texts that repeat a line often, with other words around it, are no near copies as sets of shingles."""
+    rng = random.Random(3)
+    line = " ".join(f"l{k}" for k in range(9))
+    rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(60)) + f" {line}" * 40) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_groups(docs, 5, simhash.bits_apart(0.8, 256), width=4, repeats=False).collect()
+    assert {r.component_id for r in found} == set(range(6))
+    assert {r.component_id for r in simhash.near_groups(docs, 5, simhash.bits_apart(0.8, 256), width=4).collect()} == {0}
+
+
 def test_first_word_of_a_wide_print_is_the_narrow_one():
     text = b"one two three four five six seven"
     assert simhash.simhash(text, 4, 4)[:1] == simhash.simhash(text, 4) and len(set(simhash.simhash(text, 4, 4))) == 4

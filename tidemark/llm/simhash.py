@@ -31,8 +31,11 @@ def _remix(hashes: np.ndarray, turn: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(31))
 
 
-def simhash(text: bytes, words: int, width: int = 1) -> list[int]:
-    """Bit-wise majority of the shingles' hashes, as ``width`` words of 64 bits; a bit is 1 if set in over half of them."""
+def simhash(text: bytes, words: int, width: int = 1, repeats: bool = True) -> list[int]:
+    """Bit-wise majority of the shingles' hashes, as ``width`` words of 64 bits; a bit is 1 if set in over half of them.
+
+    Without ``repeats`` a shingle counts once, so that prints estimate the likeness of sets.
+    """
     tokens = text.lower().split()  # bytes: white space is space and 9-13, lower-casing is A-Z
     if not tokens:
         return [0] * width
@@ -43,6 +46,8 @@ def simhash(text: bytes, words: int, width: int = 1) -> list[int]:
     digest = xxhash.xxh64_intdigest
     cuts = zip(starts[: len(tokens) - length + 1].tolist(), ends[length - 1 :].tolist(), strict=True)
     hashes = np.fromiter((digest(line[a:b], _SEED) for a, b in cuts), np.uint64, len(tokens) - length + 1)
+    if not repeats:
+        hashes = np.unique(hashes)
     counts = np.zeros((width, 64), np.int64)
     for at in range(0, len(hashes), 1 << 16):
         for turn in range(width):
@@ -67,17 +72,22 @@ def bits_apart(similarity: float, bits: int) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text", width: int = 1
+    docs: DataFrame,
+    words: int = 4,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    width: int = 1,
+    repeats: bool = True,
 ) -> DataFrame:
     """``doc_id, fp0, fp1, ...`` (``width`` columns of 64 bits as a signed bigint) of every row.
 
-    Words are runs without ASCII white space after lower-casing A-Z, shingles keep repeats. A text with
+    Words are runs without ASCII white space after lower-casing A-Z, shingles keep ``repeats`` or count once. A text with
     fewer words than a shingle is one shingle; one without words, or null, has fingerprint zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            fps = [simhash(t, words, width) for t in raw_texts(batch["text"])]
+            fps = [simhash(t, words, width, repeats) for t in raw_texts(batch["text"])]
             columns = [pa.array([fp[i] for fp in fps], pa.int64()) for i in range(width)]
             yield pa.record_batch([batch["doc_id"], *columns], ["doc_id", *names])
 
@@ -306,6 +316,7 @@ def near_groups(
     id_column: str = "doc_id",
     text_column: str = "text",
     width: int = 1,
+    repeats: bool = True,
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; the component is named by its smallest id.
 
@@ -315,7 +326,7 @@ def near_groups(
     (null if there is none). Repeated rows are kept; an empty table gives an empty result.
     """
     names = print_columns(width)
-    printed = stage(fingerprints(docs, words, id_column, text_column, width), "fingerprints")
+    printed = stage(fingerprints(docs, words, id_column, text_column, width, repeats), "fingerprints")
     classes = printed.groupBy(*names).agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull())
     roots = component_roots(fingerprint_links(classes, distance, blocks), "a", "b")
     # written, so that the join below reads plain rows and adaptive execution may split the key of many copies
