@@ -26,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of likeness 0.8 in five-word shingles stays, the one with the smallest id."""
-    return simhash.one_of_each_group(docs, words=5, width=4, distance=simhash.bits_apart(0.8, 256))
+    return simhash.one_of_each_group(docs, words=5, width=4, repeats=False, distance=simhash.bits_apart(0.8, 256))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
