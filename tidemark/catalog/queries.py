@@ -19,7 +19,7 @@ from ..operators import cohort, evaluate, explore, features, model, normalize, n
 from ..plans import modelling
 from ..plans.records import Study
 from ..plans.scaled import ScaledFeatures
-from ..session import fresh_path, stage, tune
+from ..session import fresh_path, side_by_side, stage, tune
 from ..sources import readers, writers
 from ..sources.fixtures import Fixtures
 
@@ -103,7 +103,8 @@ class Tables(Study):
     def baseline(self) -> DataFrame:
         """All structured features; the windows are written once for the three families."""
         self.period = stage(self.period, "period")
-        return modelling.baseline_long(self.diag_presence, self.lab_features, self.med_features)
+        kinds = ("diag_presence", "lab_features", "med_features")
+        return modelling.baseline_long(*side_by_side([partial(getattr, self, kind) for kind in kinds]))
 
     @property
     def microbiology_long(self) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,5 +94,14 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+def side_by_side(calls: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """Results of calls that each write intermediates of their own: their jobs share the cluster instead of queueing.
+
+    For a fixed, small number of independent branches of a plan.
+    """
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [done.result() for done in [pool.submit(call) for call in calls]]
+
+
 def table_path(base: str, table: str) -> str:
     return os.path.join(base, f"{table}.parquet")
