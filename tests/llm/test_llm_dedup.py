@@ -12,6 +12,7 @@ from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from tidemark.llm import simhash, spotsigs, trie_dedup
 from tidemark.llm.components import component_roots
 
@@ -171,6 +172,48 @@ def test_a_shared_line_does_not_make_texts_alike(spark):
     assert {r.component_id for r in simhash.near_groups(docs, 5, simhash.bits_apart(0.8, 256), width=4).collect()} == {0}
 
 
+def test_confirmed_links_are_alike_and_few_are_missed(spark):
+    """Pairs from 0.6 to 1: links are exactly those of likeness 0.8 or more, but for under 1 % that the prints do not propose."""
+    rng = random.Random(21)
+    rows = []
+    for family in range(400):
+        base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        edited = list(base)
+        for at in rng.sample(range(300), rng.randint(1, 14)):
+            edited[at] = f"x{rng.randrange(3000)}"
+        rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join(edited))]
+    # copies that differ in spaces or letters, and texts without words
+    rows += [(5000, rows[0][1] + "  "), (5001, "a b c"), (5002, "A  b c"), (5003, None), (5004, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    texts = dict(rows)
+    pairs = {}
+    for i in range(0, 800, 2):
+        x, y = grams(texts[i]), grams(texts[i + 1])
+        pairs[i + 1] = len(x & y) / len(x | y)
+    alike = [i for i, x in pairs.items() if x >= 0.8]
+    assert sum(0.65 < x < 0.8 for x in pairs.values()) > 80 and len(alike) > 100
+    assert all(i in kept for i, x in pairs.items() if x < 0.8)
+    assert sum(i not in kept for i in alike) >= 0.99 * len(alike)
+    assert 0 in kept and 5000 not in kept and {5001, 5002, 5003, 5004} & kept == {5001, 5003}
+
+
+def test_close_pairs_are_all_pairs_of_other_groups():
+    rng = np.random.default_rng(4)
+    bits = np.repeat(rng.integers(0, 2, (20, 256)), 20, axis=0) ^ (rng.random((400, 256)) < 0.1)
+    values = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+    known, cell = np.sort(rng.integers(0, 60, 400)), np.repeat([0, 1], 200)
+    got = [pair for a, b in simhash.close_pairs(cell, values, known, 50, slab=16) for pair in zip(a.tolist(), b.tolist())]
+    apart = np.bitwise_count(values[:, None] ^ values[None, :]).sum(axis=2)
+    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if cell[a] == cell[b] and known[a] != known[b] and apart[a, b] <= 50}
+    assert len(want) > 500 and set(got) == want and len(got) == len(want)
+
+
 def test_first_word_of_a_wide_print_is_the_narrow_one():
     text = b"one two three four five six seven"
     assert simhash.simhash(text, 4, 4)[:1] == simhash.simhash(text, 4) and len(set(simhash.simhash(text, 4, 4))) == 4

@@ -19,6 +19,7 @@ from .tables import pieces_of, raw_texts, shuffle_tasks
 
 _SEED = 42
 _FAN = 8  # children of an index node
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _remix(hashes: np.ndarray, turn: int) -> np.ndarray:
@@ -31,14 +32,11 @@ def _remix(hashes: np.ndarray, turn: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(31))
 
 
-def simhash(text: bytes, words: int, width: int = 1, repeats: bool = True) -> list[int]:
-    """Bit-wise majority of the shingles' hashes, as ``width`` words of 64 bits; a bit is 1 if set in over half of them.
-
-    Without ``repeats`` a shingle counts once, so that prints estimate the likeness of sets.
-    """
+def shingles(text: bytes, words: int, repeats: bool = True) -> np.ndarray:
+    """64-bit hashes of a text's shingles in their order, or each once and ascending; none for a text without words."""
     tokens = text.lower().split()  # bytes: white space is space and 9-13, lower-casing is A-Z
     if not tokens:
-        return [0] * width
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -46,8 +44,18 @@ def simhash(text: bytes, words: int, width: int = 1, repeats: bool = True) -> li
     digest = xxhash.xxh64_intdigest
     cuts = zip(starts[: len(tokens) - length + 1].tolist(), ends[length - 1 :].tolist(), strict=True)
     hashes = np.fromiter((digest(line[a:b], _SEED) for a, b in cuts), np.uint64, len(tokens) - length + 1)
-    if not repeats:
-        hashes = np.unique(hashes)
+    return hashes if repeats else np.unique(hashes)
+
+
+def simhash(text: bytes, words: int, width: int = 1, repeats: bool = True) -> list[int]:
+    """Bit-wise majority of the shingles' hashes, as ``width`` words of 64 bits; a bit is 1 if set in over half of them.
+
+    Without ``repeats`` a shingle counts once, so that prints estimate the likeness of sets.
+    """
+    return _majority(shingles(text, words, repeats), width)
+
+
+def _majority(hashes: np.ndarray, width: int) -> list[int]:
     counts = np.zeros((width, 64), np.int64)
     for at in range(0, len(hashes), 1 << 16):
         for turn in range(width):
@@ -61,14 +69,15 @@ def print_columns(width: int) -> list[str]:
     return [f"fp{i}" for i in range(width)]
 
 
-def bits_apart(similarity: float, bits: int) -> int:
+def bits_apart(similarity: float, bits: int, deviations: float = 1.0) -> int:
     """Differing bits up to which two prints count as similar, for sets of shingles of that Jaccard likeness.
 
     Sets of likeness ``s`` have a cosine of about ``2s / (1 + s)``, and a bit differs with the probability of their angle
-    over pi. One standard deviation is added, so that most of the pairs at the limit itself are within it.
+    over pi. One standard deviation is added, so that most of the pairs at the limit itself are within it; with three, about
+    one in 400 of them is not.
     """
     share = acos(2 * similarity / (1 + similarity)) / pi
-    return floor(bits * share + sqrt(bits * share * (1 - share)))
+    return floor(bits * share + deviations * sqrt(bits * share * (1 - share)))
 
 
 def fingerprints(
@@ -78,22 +87,31 @@ def fingerprints(
     text_column: str = "text",
     width: int = 1,
     repeats: bool = True,
+    digest: bool = False,
 ) -> DataFrame:
     """``doc_id, fp0, fp1, ...`` (``width`` columns of 64 bits as a signed bigint) of every row.
 
+    With ``digest`` also ``shingles``, 16 bytes that are equal for equal sets of shingles.
+
     Words are runs without ASCII white space after lower-casing A-Z, shingles keep ``repeats`` or count once. A text with
     fewer words than a shingle is one shingle; one without words, or null, has fingerprint zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            fps = [simhash(t, words, width, repeats) for t in raw_texts(batch["text"])]
+            fps, digests = [], []
+            for text in raw_texts(batch["text"]):
+                hashes = shingles(text, words, repeats)
+                fps.append(_majority(hashes, width))
+                if digest:
+                    digests.append(xxhash.xxh3_128_digest((np.unique(hashes) if repeats else hashes).tobytes()))
             columns = [pa.array([fp[i] for fp in fps], pa.int64()) for i in range(width)]
-            yield pa.record_batch([batch["doc_id"], *columns], ["doc_id", *names])
+            columns += [pa.array(digests, pa.binary())] if digest else []
+            yield pa.record_batch([batch["doc_id"], *columns], ["doc_id", *names, *extra])
 
-    names = print_columns(width)
+    names, extra = print_columns(width), ["shingles"] if digest else []
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
+    return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in ["doc_id", *names]), *(f"{c} binary" for c in extra)]))
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -167,19 +185,9 @@ def _link_neighbours(cell: np.ndarray, value: np.ndarray, distance: int, parent:
     return parent
 
 
-def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1 << 18) -> np.ndarray:
-    """For each value the position of its group's first member; ``cell`` marks values to compare.
-
-    ``value`` has a row per print and a column per 64 bits of it. Values come sorted by cell and Gray rank. Upper nodes hold up to ``_FAN`` neighbours of one cell with
-    the mask of bits they share and the shared pattern, so a node pair's differences on bits shared
-    by both are a lower bound for all pairs below it. From the pairs (cell, cell) down, a pair of nodes is
-    dropped when that bound exceeds ``distance``, taken whole when even the bits not shared cannot exceed it,
-    dropped when all its members are one group already, and else replaced by its children's
-    pairs. Pairs wait in slabs, deepest first, so memory stays bounded.
-    """
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    parent = np.arange(len(value))
-    starts, owner, pattern, mask = np.arange(len(value)), cell, value, np.full(value.shape, full)
+def _index_levels(cell: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """Levels of nodes, leaves first: first member, members, shared pattern, mask of shared bits, first child and children."""
+    starts, owner, pattern, mask = np.arange(len(value)), cell, value, np.full(value.shape, _FULL)
     levels = [(starts, np.ones(len(value), np.int64), pattern, mask, np.zeros(len(value), np.int64))]
     while True:  # build: each level groups up to _FAN nodes of one cell
         heads = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
@@ -194,6 +202,32 @@ def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1
         pattern, owner, starts = every & mask, owner[cuts], starts[cuts]
         below = np.diff(np.append(cuts, len(index)))
         levels.append((starts, np.diff(np.append(starts, len(value))), pattern, mask, np.stack([cuts, below], 1)))
+    return levels
+
+
+def _below(children: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of children of node pairs, each once."""
+    n_a, n_b = children[a, 1], children[b, 1]
+    many = n_a * n_b
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    wide = np.repeat(n_b, many)
+    below_a, below_b = np.repeat(children[a, 0], many) + place // wide, np.repeat(children[b, 0], many) + place % wide
+    once = below_a <= below_b
+    return below_a[once], below_b[once]
+
+
+def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1 << 18) -> np.ndarray:
+    """For each value the position of its group's first member; ``cell`` marks values to compare.
+
+    ``value`` has a row per print and a column per 64 bits of it. Values come sorted by cell and Gray rank. Upper nodes hold up to ``_FAN`` neighbours of one cell with
+    the mask of bits they share and the shared pattern, so a node pair's differences on bits shared
+    by both are a lower bound for all pairs below it. From the pairs (cell, cell) down, a pair of nodes is
+    dropped when that bound exceeds ``distance``, taken whole when even the bits not shared cannot exceed it,
+    dropped when all its members are one group already, and else replaced by its children's
+    pairs. Pairs wait in slabs, deepest first, so memory stays bounded.
+    """
+    parent = np.arange(len(value))
+    levels = _index_levels(cell, value)
     parent = _link_neighbours(cell, value, distance, parent)
     top = len(levels) - 1
     whole = np.flatnonzero(levels[top][1] > 1)
@@ -203,7 +237,7 @@ def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1
         start, size, pattern, mask, children = levels[level]
         shared = mask[a] & mask[b]
         apart = _apart(pattern[a] & shared, pattern[b] & shared)
-        most = apart + _apart(shared, full)
+        most = apart + _apart(shared, _FULL)
         close = (apart <= distance) & ((a != b) | (size[a] > 1))
         taken = close & (most <= distance)
         if taken.any():
@@ -223,32 +257,92 @@ def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1
         a, b = a[~known], b[~known]
         if not len(a):
             continue
-        n_a, n_b = children[a, 1], children[b, 1]
-        many = n_a * n_b
-        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        wide = np.repeat(n_b, many)
-        below_a, below_b = np.repeat(children[a, 0], many) + place // wide, np.repeat(children[b, 0], many) + place % wide
-        once = below_a <= below_b
-        below_a, below_b = below_a[once], below_b[once]
+        below_a, below_b = _below(children, a, b)
         waiting += [(level - 1, below_a[i : i + slab], below_b[i : i + slab]) for i in range(0, len(below_a), slab)]
     return parent
 
 
+def close_pairs(
+    cell: np.ndarray, value: np.ndarray, known: np.ndarray, distance: int, slab: int = 1 << 15
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of a cell within ``distance`` whose ``known`` groups differ.
+
+    The index of :func:`link_cells`, searched for every pair instead of for links that connect. Values come
+    sorted by cell, group and Gray rank, so that a large group fills nodes of its own and is skipped as a whole.
+    """
+    levels = _index_levels(cell, value)
+    spans = [(np.minimum.reduceat(known, x[0]), np.maximum.reduceat(known, x[0])) for x in levels if len(known)]
+    top = len(levels) - 1
+    whole = np.flatnonzero(levels[top][1] > 1)
+    waiting = [(top, whole[i : i + slab], whole[i : i + slab]) for i in range(0, len(whole), slab)]
+    while waiting:
+        level, a, b = waiting.pop()
+        _, _, pattern, mask, children = levels[level]
+        low, high = spans[level]
+        open_ = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+        a, b = a[open_], b[open_]
+        shared = mask[a] & mask[b]
+        close = _apart(pattern[a] & shared, pattern[b] & shared) <= distance
+        a, b = a[close], b[close]
+        if not len(a):
+            continue
+        if level == 0:
+            yield a, b
+            continue
+        below_a, below_b = _below(children, a, b)
+        waiting += [(level - 1, below_a[i : i + slab], below_b[i : i + slab]) for i in range(0, len(below_a), slab)]
+
+
+def _numbers(cells: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum((cells[1:] != cells[:-1]).any(axis=1)))) if len(cells) else np.zeros(0, int)
+
+
 def _links_of(distance: int, names: list[str]):
-    """Links inside the sorted cells of a task; a cell is never cut between two calls."""
+    """Links inside the sorted cells of a task."""
 
-    def linked(cells: np.ndarray, values: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        number = np.concatenate(([0], np.cumsum((cells[1:] != cells[:-1]).any(axis=1)))) if len(cells) else np.zeros(0, int)
-        group = link_cells(number, values, distance)
+    def linked(cells: np.ndarray, ids: np.ndarray, known: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = link_cells(_numbers(cells), values, distance)
         # a link joins a member to the first of its group: one row per member, not per pair
         far = np.flatnonzero(group != np.arange(len(group)))
-        return pa.record_batch([pa.array(ids[far]), pa.array(ids[group[far]])], ["a", "b"])
+        yield pa.record_batch([pa.array(ids[far]), pa.array(ids[group[far]])], ["a", "b"])
+
+    return _by_cells(names, linked)
+
+
+def _following(distance: int, names: list[str]):
+    """Pairs of neighbours in the order of a cell that are within ``distance``."""
+
+    def linked(cells: np.ndarray, ids: np.ndarray, known: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near = np.flatnonzero((cells[1:] == cells[:-1]).all(axis=1) & (_apart(values[1:], values[:-1]) <= distance))
+        yield pa.record_batch([pa.array(ids[near]), pa.array(ids[near + 1])], ["a", "b"])
+
+    return _by_cells(names, linked)
+
+
+def _pairs_of(distance: int, names: list[str], chosen: list[list[int]]):
+    """All pairs of the cells of a task that differ in ``known``; a pair comes from the first mask it agrees on, so once."""
+
+    def linked(cells: np.ndarray, ids: np.ndarray, known: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in close_pairs(_numbers(cells), values, known, distance):
+            differ, turn = values[a] ^ values[b], cells[a, 0]
+            kept = np.ones(len(a), bool)
+            for number, mask in enumerate(np.array(chosen, np.uint64)):
+                # the last test drops patterns that share a cell by equal hashes
+                agree = ~(differ & mask).any(axis=1)
+                kept &= np.where(turn > number, ~agree, (turn < number) | agree)
+            yield pa.record_batch([pa.array(ids[a[kept]]), pa.array(ids[b[kept]])], ["a", "b"])
+
+    return _by_cells(names, linked)
+
+
+def _by_cells(names: list[str], linked):
+    """Calls ``linked`` with the sorted cells of a task; a cell is never cut between two calls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             prints = np.stack([np.asarray(batch[c]) for c in names], axis=1).view(np.uint64)
-            fresh = [*(np.asarray(batch[c]) for c in ("mask", "key", "id")), prints]
+            fresh = [*(np.asarray(batch[c]) for c in ("mask", "key", "id", "known")), prints]
             rows = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
             cells = np.stack(rows[:2], axis=1).astype(np.int64)
             if not len(cells):
@@ -257,11 +351,11 @@ def _links_of(distance: int, names: list[str]):
             cut = int(other[-1]) + 1 if len(other) else 0
             # grow to a fair size before the vectorised search; the open cell stays for the next batch
             if cut >= 1 << 16:
-                yield linked(cells[:cut], rows[3][:cut], rows[2][:cut])
+                yield from linked(cells[:cut], *(x[:cut] for x in rows[2:]))
                 rows = [x[cut:] for x in rows]
             held = rows
         if held is not None:
-            yield linked(np.stack(held[:2], axis=1).astype(np.int64), held[3], held[2])
+            yield from linked(np.stack(held[:2], axis=1).astype(np.int64), *held[2:])
 
     return run
 
@@ -289,6 +383,12 @@ def fingerprint_links(classes: DataFrame, distance: int = 4, blocks: int = 6, bi
     """
     names = [c for c in classes.columns if c != "id"]
     chosen = sampled_masks(len(names), bits, rounds) if len(names) > 1 else [[m] for m in masks(blocks, distance)]
+    return _cells(classes.withColumn("known", F.lit(0).cast("bigint")), chosen).mapInArrow(_links_of(distance, names), "a long, b long").distinct()
+
+
+def _cells(classes: DataFrame, chosen: list[list[int]]) -> DataFrame:
+    """``mask, key, fp0, ..., id, known``: every class under each mask, dealt out by pattern and sorted in each cell."""
+    names = [c for c in classes.columns if c not in ("id", "known")]
     # a constant table of one row per mask
     table = F.array(
         *[
@@ -296,16 +396,66 @@ def fingerprint_links(classes: DataFrame, distance: int = 4, blocks: int = 6, bi
             for i, m in enumerate(chosen)
         ]
     )
-    entries = classes.select("id", *names, F.inline(table))
+    entries = classes.select("id", "known", *names, F.inline(table))
     patterns = [F.col(c).bitwiseAND(F.col(f"m{j}")) for j, c in enumerate(names)]
     # unequal patterns with equal hashes may share a cell, where the distance is compared all the same
     key = F.xxhash64(*patterns) if len(names) > 1 else patterns[0]
-    dealt = entries.select("mask", key.alias("key"), *names, "id").repartition(shuffle_tasks(classes), "mask", "key")
+    dealt = entries.select("mask", key.alias("key"), *names, "id", "known").repartition(shuffle_tasks(classes), "mask", "key")
     # the rank is made from the print after the shuffle
     ranked = dealt.withColumn("rank", gray_rank_column(F.col(names[0])))
-    sorted_cells = ranked.sortWithinPartitions("mask", "key", "rank")
-    found = sorted_cells.select("mask", "key", *names, "id").mapInArrow(_links_of(distance, names), "a long, b long")
-    return found.distinct()
+    return ranked.sortWithinPartitions("mask", "key", "known", "rank").select("mask", "key", *names, "id", "known")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, likeness: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets of shingles have a Jaccard likeness of ``likeness`` or more.
+
+    ``texts`` holds ``id, text``. The sets are made once for each text that is in a pair, and written.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches):
+            found = [shingles(t, words, repeats=False).tobytes() for t in raw_texts(batch["text"])]
+            yield pa.record_batch([batch["id"], pa.array(found, pa.binary())], ["id", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches):
+            kept = []
+            for x, y in zip(raw_texts(batch["x"]), raw_texts(batch["y"])):
+                small, large = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+                if len(small) < likeness * len(large) - 1e-9:
+                    kept.append(False)
+                    continue
+                at = np.searchsorted(large, small)
+                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+                kept.append(shared + 1e-9 >= likeness * (len(small) + len(large) - shared))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(kept)), batch["b"].filter(pa.array(kept))], ["a", "b"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    made = stage(texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, own binary"), "sets")
+    with_a = pairs.join(made.select(F.col("id").alias("a"), F.col("own").alias("x")), "a")
+    both = with_a.join(made.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def confirmed_links(
+    classes: DataFrame, texts: DataFrame, words: int, distance: int, likeness: float, bits: int = 17, rounds: int = 8
+) -> DataFrame:
+    """``a, b``: links between classes whose sets of shingles have a Jaccard likeness of ``likeness`` or more.
+
+    The prints only propose pairs: those within ``distance`` bits that agree on one of the sampled masks. Every proposed pair
+    is compared by its sets in :func:`alike`. First the neighbours in the cells of one mask in sixteen are, which
+    connects most of a large group by a number of pairs that grows with its size; then all other pairs but those that
+    are in one group by confirmed links already, which would connect nothing.
+    """
+    names = [c for c in classes.columns if c != "id"]
+    chosen = sampled_masks(len(names), bits, rounds)
+    plain = classes.withColumn("known", F.lit(0).cast("bigint"))
+    near = stage(_cells(plain, chosen[::16]).mapInArrow(_following(distance, names), "a long, b long").distinct(), "neighbours")
+    roots = component_roots(alike(near, texts, words, likeness), "a", "b")
+    grouped = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", *names, F.coalesce("root", "id").alias("known"))
+    pairs = stage(_cells(grouped, chosen).mapInArrow(_pairs_of(distance, names, chosen), "a long, b long"), "pairs")
+    links = alike(pairs, texts, words, likeness)
+    return links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def near_groups(
@@ -317,27 +467,40 @@ def near_groups(
     text_column: str = "text",
     width: int = 1,
     repeats: bool = True,
+    likeness: float | None = None,
+    bits: int | None = None,
+    rounds: int | None = None,
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; the component is named by its smallest id.
 
+    With ``likeness`` (for prints of several words) a link also takes sets of shingles of that Jaccard likeness, and rows of
+    one class have equal sets: see :func:`confirmed_links`. ``bits`` and ``rounds`` set the sampled masks.
     Fingerprints of ``width`` times 64 bits link at ``distance`` or fewer differing bits, links chain. Texts of equal
     fingerprint are one class before any comparison, so a large group of copies is one entry of the index. Null and
     empty texts have fingerprint zero and link like others. A row with a null id gets its group's smallest id
     (null if there is none). Repeated rows are kept; an empty table gives an empty result.
     """
     names = print_columns(width)
-    printed = stage(fingerprints(docs, words, id_column, text_column, width, repeats), "fingerprints")
-    classes = printed.groupBy(*names).agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull())
-    roots = component_roots(fingerprint_links(classes, distance, blocks), "a", "b")
+    sampled = {k: v for k, v in (("bits", bits), ("rounds", rounds)) if v is not None}
+    exact = likeness is not None
+    keys = [*names, "shingles"] if exact else names
+    printed = stage(fingerprints(docs, words, id_column, text_column, width, repeats, digest=exact), "fingerprints")
+    classes = printed.groupBy(*keys).agg(F.min("doc_id").alias("id")).filter(F.col("id").isNotNull())
+    if exact:
+        texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
+        links = confirmed_links(classes.select("id", *names), texts, words, distance, likeness, **sampled)
+    else:
+        links = fingerprint_links(classes, distance, blocks, **sampled)
+    roots = component_roots(links, "a", "b")
     # written, so that the join below reads plain rows and adaptive execution may split the key of many copies
     named = stage(
         classes.join(roots, F.col("id") == F.col("node"), "left").select(
-            *names, F.coalesce("root", "id").alias("component_id")
+            *keys, F.coalesce("root", "id").alias("component_id")
         ),
         "named",
     )
     hexes = [F.lower(F.lpad(F.hex(c), 16, "0")) for c in names]
-    return printed.join(named, names, "left").select("doc_id", F.concat(*hexes).alias("fingerprint"), "component_id")
+    return printed.join(named, keys, "left").select("doc_id", F.concat(*hexes).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
