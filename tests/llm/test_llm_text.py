@@ -145,6 +145,10 @@ def test_a_long_text_of_licences():
         ("<td>loose</td></table></div>", "loose"),
         ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
         ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"),
+        ("<html><head><title>T</title><p>Hello <b>you</b>", "Hello you"),
+        ("<head><meta charset=x><style>p{}</style>\n plain<p>q", "plain\n\nq"),
+        ("<head><template><p>no</p></template><script>1</script><div>a</div></head>b", "a\nb"),
+        ("<head><noscript><link href=x></noscript><title>t</title>\n</head><body>x", "x"),
         ("", ""),
         ("<<>&;</", "<<>&;</"),
     ],

@@ -14,6 +14,8 @@ from .tables import pieces_of
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math audio video canvas select textarea".split())
+# what may stand in a head; any other tag, or text, ends a head that is open
+_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 _LINES = frozenset(
     "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header html "
@@ -119,6 +121,8 @@ class _Renderer(HTMLParser):
         self.pre = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _HEAD:
+            self._end_head()
         ended = _ENDS.get(tag)
         if ended and any(self.counts.get(t) for t in ended[0]):
             self._end_implied(*ended)
@@ -152,9 +156,16 @@ class _Renderer(HTMLParser):
                 pass
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1] == "head" and not _SPACES.sub("", data) == "":
+            self._end_head()
         if self.hidden_from is None:
             self.pages[-1].text(data, self.pre > 0)
 
+    def _end_head(self) -> None:
+        """End a head without an end tag; what stands deeper, as in a title or template, leaves it open."""
+        if self.open and self.open[-1] == "head":
+            self._pop()
+
     def _reaches(self, tag: str) -> bool:
         """An end tag inside a table cell closes nothing outside the cell's table."""
         if tag in ("table", "tr", "td", "th", "body", "html") or not self.counts.get("table"):
