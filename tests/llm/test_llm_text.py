@@ -162,6 +162,17 @@ def test_deep_and_broken_pages_end():
     assert html_text.visible_text("<table><tr><td>" * 300 + "x").endswith("x")
 
 
+@pytest.mark.parametrize("section", ["<![foo[ x ]]>", "<![1]>", "<![if !IE]>", "<![endif]>", "<![>", "<![ x [>", "<![foo[ a > "])
+def test_unknown_marked_sections_are_comments(section):
+    assert html_text.visible_text(f"<p>a{section}b</p>").startswith("a")
+    assert "c" in html_text.visible_text(f"{section}<p>b</p><p>c</p>")
+
+
+@pytest.mark.parametrize("end", ["<![", "<![ x", "<![foo[ x", "<![CDATA[ x", "<!", "<!-", "<!DOCTYPE", "<!ELEMENT [", "<?x", "</"])
+def test_cut_off_declarations_do_not_fail(end):
+    assert html_text.visible_text(f"<p>a</p>{end}").startswith("a")
+
+
 def test_words_of_pages_are_kept(spark):
     """No visible word gets lost or made up: compared with tags stripped by a pattern."""
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html")

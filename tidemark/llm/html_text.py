@@ -155,6 +155,12 @@ class _Renderer(HTMLParser):
             while self._pop() != tag:
                 pass
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section is a comment, whatever its name: the standard parser fails on those it does not know."""
+        if self.rawdata.startswith("<![", i) and not self.rawdata.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1] == "head" and not _SPACES.sub("", data) == "":
             self._end_head()
