@@ -157,6 +157,30 @@ def test_visible_text(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds", "so x=2 holds"),
+        ("a<svg><title>no</title><defs><text>no</text></defs>no<path/><text x=1>North</text><text>South</text></svg>b", "a\nNorth\nSouth\nb"),
+        ("a <svg><path d='M0'/></svg> b", "a b"),
+        ("a<svg/>b", "ab"),
+        ("<p>Note: <textarea>\nfirst &amp;\n  second</textarea> end", "Note: first &\n  second end"),
+        ("<p>Pick <select><option>red<option selected>green<option>blue</select> now", "Pick green now"),
+        ("<p>Pick <select><option disabled>none<option>red</option></select> now", "Pick red now"),
+        ("x<select multiple><optgroup label=warm><option>red<option label=Sun>yellow</select>y", "x\nwarm\nred\nSun\ny"),
+        ("<datalist><option>no</datalist><select hidden><option>no</select>z", "z"),
+        ("<table><tr><td><select><option>a<option>b</select><td>c</table>", "a  c"),
+    ],
+)
+def test_formulas_drawings_and_fields_are_visible(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_unclosed_fields_end():
+    for tags in ("<select><option>", "<svg><text>", "<textarea>", "<math><mtd>", "<option><select>", "<table><td><select><option><td>"):
+        assert html_text.visible_text(tags * 200 + "x</option></select></svg></td></table>") is not None
+
+
 def test_deep_and_broken_pages_end():
     assert html_text.visible_text("<div>" * 50_000 + "x") == "x"
     assert html_text.visible_text("<table><tr><td>" * 300 + "x").endswith("x")

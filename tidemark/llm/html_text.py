@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from .tables import pieces_of
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math audio video canvas select textarea".split())
+_HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas annotation annotation-xml".split())
+# of a drawing browsers show the texts, but not what it only defines or describes
+_DRAWN = frozenset(("text", "foreignobject"))
+_UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern".split())
+_CHOICES = frozenset(("option", "optgroup"))
 # what may stand in a head; any other tag, or text, ends a head that is open
 _HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
@@ -33,6 +37,8 @@ _ENDS = {
     "tr": (frozenset(("tr", "td", "th", "caption")), frozenset(("table",))),
     **{t: (frozenset(("thead", "tbody", "tfoot", "tr", "td", "th", "caption")), frozenset(("table",))) for t in ("thead", "tbody", "tfoot")},
     "body": (frozenset(("head",)), frozenset()),
+    "optgroup": (_CHOICES, frozenset(("select", "datalist"))),
+    **{t: (frozenset(("select",)), frozenset(("table", "td", "th"))) for t in ("select", "input", "textarea")},
 }
 _SCOPE = frozenset(("table", "td", "th", "caption", "html", "button"))
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -119,6 +125,9 @@ class _Renderer(HTMLParser):
         self.tables: list[list[list[str]]] = []
         self.lists: list[list] = []
         self.pre = 0
+        self.selects: list[dict] = []
+        self.muted: list[bool] = []  # inside a drawing: is plain text left out
+        self.fresh = False  # a text area has just begun
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in _HEAD:
@@ -126,7 +135,7 @@ class _Renderer(HTMLParser):
         ended = _ENDS.get(tag)
         if ended and any(self.counts.get(t) for t in ended[0]):
             self._end_implied(*ended)
-        elif self.counts.get("p") and (tag in _PARAGRAPHS or tag in _LINES):
+        elif self.counts.get("p") and tag not in _CHOICES and (tag in _PARAGRAPHS or tag in _LINES):
             self._end_implied(frozenset(("p",)), _SCOPE)
         shown = self.hidden_from is None
         if tag in _VOID:
@@ -135,7 +144,7 @@ class _Renderer(HTMLParser):
             elif shown and tag == "hr":
                 self.pages[-1].block(1)
             return
-        if shown and (tag in _HIDDEN or self._is_hidden(attrs)):
+        if shown and (tag in _HIDDEN or (self.muted and tag in _UNDRAWN) or self._is_hidden(attrs)):
             self.hidden_from = len(self.open)
         self.open.append(tag)
         self.counts[tag] = self.counts.get(tag, 0) + 1
@@ -143,7 +152,10 @@ class _Renderer(HTMLParser):
             self._begin(tag, dict(attrs))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # HTML gives the slash no meaning
+        inside = self.counts.get("svg") or self.counts.get("math") or tag in ("svg", "math")
+        self.handle_starttag(tag, attrs)  # HTML gives the slash no meaning, but drawings and formulas do
+        if inside and self.open and self.open[-1] == tag:
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -164,8 +176,11 @@ class _Renderer(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1] == "head" and not _SPACES.sub("", data) == "":
             self._end_head()
-        if self.hidden_from is None:
+        if self.hidden_from is None and not (self.muted and self.muted[-1]):
+            if self.fresh:
+                data = data.removeprefix("\n")
             self.pages[-1].text(data, self.pre > 0)
+        self.fresh = False
 
     def _end_head(self) -> None:
         """End a head without an end tag; what stands deeper, as in a title or template, leaves it open."""
@@ -215,6 +230,28 @@ class _Renderer(HTMLParser):
                     self.tables[-1].append([])
                 self.pages.append(_Page())
             return
+        if tag == "select":
+            size = attrs.get("size") or "1"
+            listed = "multiple" in attrs or (size.isascii() and size.isdigit() and size.lstrip("0") not in ("", "1"))
+            self.selects.append({"listed": listed, "options": []})
+            self.pages.append(_Page())  # text beside the options is not shown
+            return
+        if tag == "option" and self.selects:
+            self.selects[-1]["options"].append([attrs.get("label"), "selected" in attrs, "disabled" in attrs])
+            self.pages.append(_Page())
+            return
+        if tag == "optgroup" and self.selects:
+            if self.selects[-1]["listed"] and attrs.get("label"):
+                self.selects[-1]["options"].append([attrs["label"], False, True])
+            return
+        if tag == "svg":
+            self.muted.append(True)
+        elif tag in _DRAWN and self.muted:
+            self.muted.append(False)
+            page.block(0)
+        elif tag == "textarea":
+            self.pre += 1
+            self.fresh = True
         if tag in _PARAGRAPHS or tag in _LINES:
             # a list inside an item follows it without a blank line
             page.block(1 if tag in _PARAGRAPHS and not (tag in _LISTS and self.lists) else 0)
@@ -243,7 +280,25 @@ class _Renderer(HTMLParser):
                 cell = self.pages.pop().result()
                 self.tables[-1][-1].append(cell)
             return
+        if tag == "option" and self.selects:
+            own, option = self.pages.pop().result(), self.selects[-1]["options"][-1]
+            option[0] = option[0] or " ".join(own.split())
+            return
+        if tag == "optgroup" and self.selects:
+            return
+        if tag == "select":
+            self.pages.pop()
+            self._choose(self.selects.pop())
+            return
         page = self.pages[-1]
+        if tag == "svg" or tag in _DRAWN and self.muted:
+            self.muted.pop()
+            if tag != "svg":
+                page.block(0)
+        elif tag == "textarea":
+            self.pre -= 1
+        elif tag in ("mtd", "mtr"):
+            page.text(" ", False)
         if tag in _PARAGRAPHS or tag in _LINES:
             page.block(1 if tag in _PARAGRAPHS and not (tag in _LISTS and len(self.lists) > 1) else 0)
         if tag == "pre":
@@ -258,6 +313,19 @@ class _Renderer(HTMLParser):
             page.rows([row for row in self.tables.pop() if any(row)])
             page.gap = 1
 
+    def _choose(self, select: dict) -> None:
+        """A list shows all its options, a drop-down the last selected one, or else the first that is not disabled."""
+        page, options = self.pages[-1], select["options"]
+        if select["listed"]:
+            for label, _, _ in options:
+                page.block(0)
+                page.text(label or "", False)
+            page.block(0)
+            return
+        chosen = [o for o in options if o[1]][-1:] or [o for o in options if not o[2]][:1]
+        for label, _, _ in chosen:
+            page.text(label or "", False)
+
     def finish(self) -> str:
         self.close()
         while self.open:
@@ -276,7 +344,8 @@ def extract(pages: DataFrame, id_column: str = "page_id", html_column: str = "ht
     """``page_id, text, n_lines`` of every page.
 
     Tags are completed as browsers do for paragraphs, list items and table parts; what is in the head,
-    scripts, styles, templates, form choices, comments, or marked hidden or not displayed is left out. Blocks
+    scripts, styles, templates, comments, or marked hidden or not displayed is left out. Text of formulas, of
+    drawings' text elements and of text areas is shown, and the options of a selection that a browser shows at first. Blocks
     begin on lines of their own, paragraphs, headings, lists and tables are set off by a blank line, list
     items are marked and indented, and the cells of a table's column are aligned. Null or empty pages give an
     empty text; text outside any tag is text; broken markup never fails. Rows are independent.
