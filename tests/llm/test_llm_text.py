@@ -108,6 +108,31 @@ def test_rules(text, labels):
     assert [d.label for d in licenses.detect(line(text)[1])] == labels
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ["mit"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["isc"]),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", ["bsd"]),
+        ("Redistribution and use in source and binary forms are permitted. Neither the name of X", ["bsd-3-clause"]),
+        ("provided 'as-is', without any express or implied warranty. In no event will the authors be held liable", ["zlib"]),
+        (
+            "modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+            "either version 2 of the License, or (at your option) any later version",
+            ["gpl-2.0"],
+        ),
+        (
+            "distributed under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+            "version 2.1 of the License",
+            ["lgpl-2.1"],
+        ),
+        ("permission is granted; the redistribution and use of things in no event will end", []),
+    ],
+)
+def test_bodies_and_notices(text, labels):
+    assert [d.label for d in licenses.detect(line(text)[1])] == labels
+
+
 def test_rules_are_many_and_a_kept_interval_contains_no_other():
     assert len(licenses.rules()) > 300
     found = licenses.detect(line("licensed under the GNU Lesser General Public License version 2.1, the GPL license")[1])

@@ -85,6 +85,31 @@ title | 2 | 0.85 | {n}(?: international| unported)? licen[sc]e{v}
 bare | 3 | 0.7 | (?<=under ){n}{v}
 """
 
+_BSD = "redistribution and use in source and binary forms"
+# hand-written: label | priority | confidence | keyword | words of a licence's body or notice that need not name it
+_SIGNATURES = rf"""
+mit | 1 | 0.95 | hereby granted | permission is hereby granted free of charge to any person obtaining a copy
+bsl-1.0 | 1 | 0.95 | hereby granted | permission is hereby granted free of charge to any person or organization obtaining a copy
+isc | 1 | 0.95 | hereby granted | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted
+postgresql | 1 | 0.95 | hereby granted | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+bsd-4-clause | 0 | 0.95 | advertising materials | {_BSD} (?:\S+ ){{0,140}}?all advertising materials mentioning features
+bsd-3-clause | 1 | 0.95 | neither the name/may not be used to endorse | {_BSD} (?:\S+ ){{0,140}}?(?:neither the name|may not be used to endorse)
+bsd | 2 | 0.9 | redistribution and use | {_BSD}(?: with or without modification)?
+zlib | 1 | 0.95 | in no event will | provided as is without any express or implied warranty in no event will the authors be held liable
+unlicense | 1 | 0.95 | unencumbered | this is free and unencumbered software released into the public domain
+"""
+
+# the notice of the GNU licences, which gives the version behind the publisher: label stem | name | versions
+_NOTICES = """
+gpl | general public | 1.0 2.0 3.0
+lgpl | (?:lesser|library) general public | 2.0 2.1 3.0
+agpl | affero general public | 1.0 3.0
+"""
+_NOTICE = (
+    "(?:(?:licensed|released|distributed|published|available|provided) )?(?:under (?:the )?(?:terms of )?(?:the )?)?(?:gnu )?"
+    "{n} licen[sc]e(?: v?[0-9])? as published by the free software foundation (?:either )?version {v}(?: of the licen[sc]e)?"
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -101,8 +126,20 @@ def _rows(table: str) -> list[list[str]]:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """Every family, in each of its versions and without one, in each form; a version beats none."""
+    """Every family, in each of its versions and without one, in each form, and the signatures; a version beats none."""
     made = []
+
+    def add(label: str, priority: str, confidence: str, keywords: str, pattern: str) -> None:
+        gates = tuple(k.encode() for k in keywords.split("/"))
+        made.append(Rule(label, 2 * int(priority), float(confidence), gates, re.compile(rf"(?<= ){pattern}(?= )".encode())))
+
+    for signature in _rows(_SIGNATURES):
+        add(*signature)
+    for stem, name, versions in _rows(_NOTICES):
+        for version in versions.split():
+            major, _, minor = version.partition(".")
+            number = f"{major}(?: 0)?(?! [0-9])" if minor == "0" else f"{major} {minor}"
+            add(f"{stem}-{version}", "0", "0.98", "as published by", _NOTICE.format(n=name, v=number))
     for stem, names, name, *versions in _rows(_FAMILIES):
         plain = tuple(k.encode() for k in names.split("/"))
         # a tag names the label itself
@@ -131,7 +168,7 @@ def rules() -> tuple[Rule, ...]:
 
 
 #: A text without any of these has no detection, since every rule needs one.
-_GATE = re.compile(rb" licen[sc]e | under ")
+_GATE = re.compile(rb" licen[sc]e | under | hereby granted | redistribution and use | in no event will | unencumbered ")
 
 
 @dataclass
