@@ -246,11 +246,14 @@ def test_sequences_hold_the_ids(spark, docs, model):
     assert sorted(i for r in made for i in r.ids) == ids and max(len(r.ids) for r in made) <= 1024
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab'slld 12.,()\n\t\x1c\x85\xa0 　éß漢\U0001f600_")), max_size=60), st.integers(1, 9))
-def test_chunks_give_the_ids_of_the_whole(text, block):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abslldAB  '12.,()\n\t\x1c\x85\xa0\u3000éß漢\U0001f600_")), max_size=60), max_size=4), st.integers(1, 9))
+def test_chunks_give_the_ids_of_the_whole(texts, block):
     tokens = packing.ByteTokens(BYTE_MODEL, most=20, longest=4, block=block)
-    assert np.frombuffer(tokens(text), "<u4").tolist() == tokens.model.encode(text, add_special_tokens=False).ids
+    want = [tokens.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in tokens(texts)] == want
+    tokens = packing.ByteTokens(BYTE_MODEL)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in tokens([*texts, *texts])] == want + want
 
 
 def best_fit_decreasing(counts, capacity):

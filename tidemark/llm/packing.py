@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,53 +27,91 @@ END_ID = 2
 # --- ids -----------------------------------------------------------------------------------------
 
 # white space as Unicode lists it
-_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # white space and then letters a-z up to another sign of ASCII, or else all up to the next white space
-_CHUNK = re.compile(rf"[{_BLANK}]*(?:[A-Za-z]++(?![^\x00-\x7f])|[^{_BLANK}]+)|[{_BLANK}]+")
-_BREAK = re.compile(f"[^{_BLANK}](?=[{_BLANK}])")
+_CHUNK = re.compile(rf"[{_BLANKS}]*(?:[A-Za-z]++(?![^\x00-\x7f])|[^{_BLANKS}]+)|[{_BLANKS}]+")
+_BREAK = re.compile(f"[^{_BLANKS}](?=[{_BLANKS}])")
 _KNOWN: dict[str, dict[str, bytes]] = {}
 
 
+@cache
+def _token_bytes(path: str) -> tuple:
+    """The tokenizer, and how many bytes each of its tokens stands for."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    vocabulary = model.get_vocab()
+    sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, number in vocabulary.items():
+        sizes[number] = len(token)  # a byte-level token has one sign per byte
+    return model, sizes
+
+
 class ByteTokens:
     """Ids of texts by a byte-level tokenizer of the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
 
     Such a tokenizer ends a word before white space, and a run of letters before another sign, whatever stands around. So a
-    text may be cut there, and each distinct chunk goes through the library once: a worker remembers at most ``most``
-    chunks of at most ``longest`` characters. Long texts are cut in blocks, so that their chunks are not listed all at once.
+    text may be cut into chunks there, and each distinct chunk goes through the library once: a worker remembers at most
+    ``most`` chunks of at most ``longest`` characters. Long texts are cut into blocks.
     """
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 40, block: int = 1 << 20):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 40, block: int = 1 << 20):
+        self.model, self.sizes = _token_bytes(path)
         self.known = _KNOWN.setdefault(path, {})
         self.most, self.longest, self.block = most, longest, block
 
-    def _block(self, text: str) -> bytes:
-        chunks, known = _CHUNK.findall(text), self.known
-        new = [c for c in set(chunks) if c not in known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for chunk, found in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                known[chunk] = np.asarray(found.ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, chunks))
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks. Chunks that start with white space and end with a letter may follow each other in one text."""
+        out = {}
+        joined = [c for c in chunks if c[0] in _BLANKS and c[-1].isascii() and c[-1].isalpha()]
+        for at in range(0, len(joined), 1024):
+            some = joined[at : at + 1024]
+            ids = np.asarray(self.model.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(c.encode()) for c in some])
+            cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) * 4 + 4).tolist()
+            raw = ids.tobytes()
+            out.update(zip(some, (raw[i:j] for i, j in zip([0, *cuts], cuts))))
+        others = [c for c in chunks if c not in out]
+        for at in range(0, len(others), 1024):
+            some = others[at : at + 1024]
+            found = self.model.encode_batch_fast(some, add_special_tokens=False)
+            out.update((c, np.asarray(f.ids, "<u4").tobytes()) for c, f in zip(some, found))
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        chunked = [_CHUNK.findall(t) for t in texts]
+        found = [list(map(known.get, chunks)) for chunks in chunked]
+        gaps = [i for i, own in enumerate(found) if None in own]
+        new = {c for i in gaps for c, ids in zip(chunked[i], found[i]) if ids is None}
+        if new:
+            known |= self._encoded(list(new))
+            for i in gaps:
+                found[i] = map(known.__getitem__, chunked[i])
+        out = [b"".join(own) for own in found]
         for chunk in new:
             if len(chunk) > self.longest:
                 del known[chunk]
-        if len(known) > self.most:
-            known.clear()
         return out
 
-    def __call__(self, text: str) -> bytes:
-        if len(text) <= self.block:
-            return self._block(text)
-        parts, at = [], 0
-        while at < len(text):
-            cut = _BREAK.search(text, at + self.block)
-            end = cut.end() if cut else len(text)
-            parts.append(self._block(text[at:end]))
-            at = end
-        return b"".join(parts)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. All texts together should be no more than some blocks, but for single long ones."""
+        done = iter(self._block([t for t in texts if len(t) <= self.block]))
+        out = []
+        for text in texts:
+            if len(text) <= self.block:
+                out.append(next(done))
+                continue
+            parts, at = [], 0
+            while at < len(text):
+                cut = _BREAK.search(text, at + self.block)
+                end = cut.end() if cut else len(text)
+                parts += self._block([text[at:end]])
+                at = end
+            out.append(b"".join(parts))
+        return out
 
 
 def cut_lengths(tokens: int, capacity: int) -> list[int]:
@@ -101,8 +140,9 @@ def pieces(
         last = np.asarray([end_id], "<u4").tobytes()
         for batch in pieces_of(batches, 4_000_000):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), raw_texts(batch["text"])):
-                ids, start = memoryview(tokens(text.decode()) + last), 0
+            texts = tokens([t.decode() for t in raw_texts(batch["text"])])
+            for doc_id, own in zip(batch["doc_id"].to_pylist(), texts):
+                ids, start = memoryview(own + last), 0
                 for number, length in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     rows.append((doc_id, number, start, length, zlib.crc32(own), np.frombuffer(own, "<u4") if with_ids else None))
