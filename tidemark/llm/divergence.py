@@ -30,31 +30,44 @@ _WORDS = re.compile(rb"[A-Za-z\x80-\xff]+")
 # --- counts ----------------------------------------------------------------------------------------
 
 
-def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents of every term in every group, and a row with a null term
-    for every group, whose ``docs`` counts all its documents.
+def _plain(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """``lang, source, text`` with nulls as empty."""
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
 
-    Nulls count as empty. Terms are runs of letters a-z and of anything beyond ASCII, A-Z lower-cased. A task adds up its batches before
-    Spark adds up the tasks, so a term or group that a third of all rows hold sends one row per batch.
+
+def kept_counts(plain: DataFrame, min_docs: int, most: int = 400_000) -> DataFrame:
+    """``lang, source, term, n``: occurrences in every group of the terms in at least ``min_docs`` documents of their language.
+
+    Terms are runs of letters a-z and of anything beyond ASCII, A-Z lower-cased. A task adds up what it reads, ``most`` terms of
+    all groups at a time, so a term that a third of all rows hold is few rows. They are shuffled once, by language and term: the counts of
+    each source and the documents of all meet there, and what is too rare goes no further.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, in_docs = defaultdict(Counter), defaultdict(Counter)
         for batch in pieces_of(batches):
-            n, in_docs, groups = defaultdict(Counter), defaultdict(Counter), Counter()
-            for group in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), raw_texts(batch["text"])):
-                own = Counter(_WORDS.findall(group[2].lower()))
-                n[group[:2]].update(own)
-                in_docs[group[:2]].update(own.keys())
-                groups[group[:2]] += 1
-            rows = [(*g, t.decode(), c, in_docs[g][t]) for g, found in n.items() for t, c in found.items()]
-            rows += [(*g, None, 0, c) for g, c in groups.items()]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang", "source", "term", "n", "docs"])
-
-    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))]
-    counted = docs.select(*plain).mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+            for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), raw_texts(batch["text"])):
+                words = _WORDS.findall(text.lower())
+                n[lang, source].update(words)
+                in_docs[lang, source].update(set(words))
+            if sum(map(len, n.values())) > most:
+                yield from added(n, in_docs)
+                n, in_docs = defaultdict(Counter), defaultdict(Counter)
+        yield from added(n, in_docs)
+
+    def added(n: dict, in_docs: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), found in n.items():
+            names = [pa.array([name] * len(found), pa.string()) for name in (lang, source)]
+            docs = in_docs[lang, source]
+            counts = [pa.array(list(found.values()), pa.int64()), pa.array([docs[t] for t in found], pa.int64())]
+            term = pa.array(list(found), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*names, term, *counts], ["lang", "source", "term", "n", "docs"])
+
+    counted = plain.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    dealt = counted.repartition(shuffle_tasks(plain), "lang", "term")
+    summed = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    in_lang = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    return summed.withColumn("docs", in_lang).filter(F.col("docs") >= min_docs).select("lang", "source", "term", "n")
 
 
 def _mass(n: str, total: str, terms: str) -> Column:
@@ -70,16 +83,15 @@ def group_matrix(docs: DataFrame, min_docs: int = 10, **columns: str) -> tuple[D
     null). ``mass0`` is the mass of a term the group does not have, ``terms`` the number of the language's kept terms, those in
     ``min_docs`` documents of it at least. Cells: ``lang, row, col, term, mass`` of every kept term that occurs in a group.
     """
-    counts = stage(term_counts(docs, **columns), "counts")
-    words = counts.filter(F.col("term").isNotNull())
-    of_lang = words.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    kept = stage(of_lang.filter(F.col("docs") >= min_docs).select("lang", "term", "n", F.lit(1).cast("bigint").alias("_one")), "kept")
+    plain = _plain(docs, **columns)
+    words = stage(kept_counts(plain, min_docs), "counts")
+    kept = stage(words.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.lit(1).cast("bigint").alias("_one")), "kept")
     numbered = stage(running_totals(kept, ["lang", "term"], ["_one"], group=["lang"]), "numbered")
     terms = numbered.select("lang", "term", F.col("_one_before").alias("col"))
     sized = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("total"))
     seen = words.join(terms, ["lang", "term"]).select("lang", "source", "term", "col", "n")
-    totals = seen.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    sources = counts.filter(F.col("term").isNull()).select("lang", "source")
+    totals = words.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    sources = plain.select("lang", "source").distinct()
     place = sources.withColumn("_one", F.lit(1).cast("bigint"))
     place = running_totals(place, ["lang", "source"], ["_one"], group=["lang"])
     place = place.select("lang", "source", (F.col("_one_before") + 1).alias("row"))
