@@ -1,4 +1,4 @@
-"""Command line: ``convert`` raw extracts, run the ``etl``, the ``scaled`` features, or the ``model`` comparison."""
+"""Command line: ``convert`` raw extracts, ``cluster`` them by entity, run the ``etl``, the ``scaled`` features, or the ``model`` comparison."""
 
 from __future__ import annotations
 
@@ -59,13 +59,15 @@ def _model(spark: SparkSession, study: Study, args: argparse.Namespace) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tidemark", description=__doc__)
-    parser.add_argument("command", choices=["convert", "etl", "scaled", "model"])
+    parser.add_argument("command", choices=["convert", "cluster", "etl", "scaled", "model"])
     parser.add_argument("--input", required=True, help="folder of the raw extracts")
     parser.add_argument("--output", required=True, help="folder for results")
     parser.add_argument("--parquet", action="store_true", help="the input was made by convert")
     parser.add_argument("--features", help="output folder of etl, for model")
     parser.add_argument("--sample", type=int, help="work on this many entities")
     parser.add_argument("--files", type=int, default=64, help="parts per table, for convert")
+    parser.add_argument("--quarantine", action="store_true", help="put lines that do not fit their types aside, for convert")
+    parser.add_argument("--buckets", type=int, help="cluster the converted tables by entity into this many buckets, for cluster")
     parser.add_argument("--encoder", action="append", default=[], help="name=module:callable, for model; may be repeated")
     parser.add_argument("--trees", type=int, default=100, help="of a forest, for model")
     parser.add_argument("--depth", type=int, default=30, help="of a forest's trees, for model")
@@ -75,6 +77,14 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
 
     spark = tune(SparkSession.builder.appName(f"tidemark-{args.command}").getOrCreate())
+    if args.command == "cluster":
+        raw.cluster(raw.load_converted(spark, args.input), args.output, args.buckets or args.files).show(truncate=False)
+        return
+    if args.command == "convert" and args.quarantine:
+        with staging(spark):
+            for table, (lines, clean, rejected) in raw.convert_with_quarantine(spark, args.input, args.output, args.files).items():
+                print(f"{table}: {lines} lines, {clean} clean, {rejected} rejected")
+        return
     if args.command == "convert":
         for table, misfits in raw.convert(spark, args.input, args.output, args.files).items():
             print(f"{table}: {misfits} lines do not fit their types")

@@ -9,12 +9,16 @@ import re
 
 from ..config import ENGLISH_STOP_WORDS, RESPIRATORY_GROUPS
 from ..sources.fixtures import VIEWS
-from .queries import CATEGORIES, ENCODER_WIDTH, KEYWORDS, LAB_ITEMS, MICROBIOLOGY_ITEMS, PARAMS, SECTION_TERM, VECTOR_WIDTH
+from .queries import (
+    CATEGORIES, ENCODER_WIDTH, KEYWORDS, LAB_ITEMS, MICROBIOLOGY_ITEMS, MIXED_GROUPS, PARAMS, SECTION_TERM, VECTOR_WIDTH, WINDOW,
+    WINDOW_STEP,
+)
 
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _TRAIN = "substr(md5(CAST({0} AS VARCHAR) || ':1'), 1, 8) < 'cccccccc'"
 _STOP = ", ".join("('" + w.replace("'", "''") + "')" for w in ENGLISH_STOP_WORDS)
 _GROUPS = ", ".join(f"('{code}', '{group}')" for group, codes in RESPIRATORY_GROUPS.items() for code in codes)
+_MIXED = ", ".join(f"('{code}', '{group}')" for group, codes in MIXED_GROUPS.items() for code in codes)
 _BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
@@ -265,6 +269,13 @@ ORACLES: dict[str, str] = {
   FROM @svm_cells GROUP BY part, entity_id, label""",
     "svmlight_read": """SELECT part, CAST(label AS DOUBLE) AS label, CAST(idx AS INT) AS idx, count(*) AS n, round(sum(value), 6) AS total
   FROM @svm_cells WHERE value <> 0 GROUP BY part, label, idx""",
+    "misfit_quarantine": """SELECT 'clean' AS kind, CAST(ITEMID AS VARCHAR) AS what, count(*) AS n FROM @labevents
+  WHERE TRY_CAST(VALUE AS DOUBLE) IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'rejected', 'VALUENUM: not a double', count(*) FROM @labevents WHERE TRY_CAST(VALUE AS DOUBLE) IS NULL HAVING count(*) > 0""",
+    "embedding_store_arrivals": f"""SELECT DISTINCT entity_id, sha256(text) AS digest, 'hashing' AS encoder, CAST(1 AS BIGINT) AS copies,
+  {ENCODER_WIDTH} AS width, 0 AS added_last FROM (
+  SELECT ROW_ID AS entity_id, TEXT AS text FROM @notes WHERE ROW_ID % 3 <> 0
+  UNION ALL SELECT ROW_ID, CASE WHEN ROW_ID % 5 = 0 THEN 'again ' || TEXT ELSE TEXT END FROM @notes)""",
     "embedding_store_incremental": """
 WITH first AS (SELECT entity_id, CAST(pos AS INT) AS pos, avg(CAST(x AS DOUBLE)) AS mean FROM @vector_cells WHERE arrival = 0 GROUP BY entity_id, pos)
 SELECT entity_id, pos, round(mean, 6) AS value FROM first
@@ -283,6 +294,10 @@ UNION ALL SELECT entity_id, pos, round(mean, 6) FROM @pooled WHERE entity_id NOT
     "window_filter_open": rounded_events("diag_open"),
     "code_group_events": """SELECT entity_id, date, feature, code_group FROM @diag_open e
   JOIN @code_groups g ON g.code = substr(split_part(e.feature, '_', -1), 1, 3)""",
+    "code_groups_any_length": f"""SELECT entity_id, date, feature, code_group FROM (
+  SELECT e.*, g.code_group, len(g.code) AS size, max(len(g.code)) OVER (PARTITION BY e.r) AS longest
+  FROM (SELECT *, row_number() OVER () AS r FROM @diag) e
+  JOIN (VALUES {_MIXED}) AS g(code, code_group) ON starts_with(split_part(e.feature, '_', -1), g.code)) WHERE size = longest""",
     "code_group_entities": "SELECT entity_id FROM @respiratory",
     "keyword_counts": " UNION ALL ".join(
         f"SELECT '{w}' AS keyword, contains(lower(text), '{w}') AS present, count(*) AS n FROM @note_rows GROUP BY 2" for w in KEYWORDS
@@ -359,6 +374,24 @@ JOIN @ids i ON i.entity_id = n.entity_id LEFT JOIN @outcomes o ON o.entity_id =
     "period_parity": """SELECT COALESCE(a.entity_id, b.entity_id) AS entity_id, a.earliest AS earliest_a, a.last AS last_a,
   b.earliest AS earliest_b, b.last AS last_b FROM @period a FULL OUTER JOIN @period_b b ON b.entity_id = a.entity_id
   WHERE a.earliest IS DISTINCT FROM b.earliest OR a.last IS DISTINCT FROM b.last""",
+    "multiset_difference": f"""SELECT entity_id, date, value, sum(l)::BIGINT AS n_left, sum(r)::BIGINT AS n_right FROM (
+  SELECT entity_id, date, round(value, 6) AS value, 1 AS l, 0 AS r FROM @labs_in
+  UNION ALL SELECT entity_id, date, round(value, 6), 0, 1 FROM ({window('labs', 'period', '>=', '<=')}))
+  GROUP BY entity_id, date, value HAVING sum(l) <> sum(r)""",
+    "frame_parity": f"""WITH a AS (SELECT entity_id, date, feature, round(value, 6) AS value FROM @labs),
+b AS (SELECT entity_id, date, feature, round(value, 6) + CASE WHEN entity_id % 7 = 0 THEN 1 ELSE 0 END AS value FROM @labs_text)
+"""
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", (SELECT count(*) FROM (SELECT {cells} FROM a EXCEPT ALL SELECT {cells} FROM b)) AS only_left,
+  (SELECT count(*) FROM (SELECT {cells} FROM b EXCEPT ALL SELECT {cells} FROM a)) AS only_right"""
+        for name, cells in (("entity_id", "entity_id"), ("date", "entity_id, date"), ("feature", "entity_id, feature"),
+                            ("value", "entity_id, value"), ("*", "entity_id, date, feature, value"))
+    ),
+    "presence_gram": """WITH p AS (SELECT entity_id, feature FROM @diag_built WHERE value_count > 0),
+t AS (SELECT count(*)::DOUBLE AS n FROM @ids), c AS (SELECT feature, count(*)::DOUBLE AS n FROM p GROUP BY feature),
+g AS (SELECT x.feature AS a, y.feature AS b, count(*) AS n FROM p x JOIN p y ON y.entity_id = x.entity_id AND x.feature <= y.feature GROUP BY 1, 2)
+SELECT g.a, g.b, g.n, round((t.n * g.n - ca.n * cb.n) / nullif(sqrt(ca.n * (t.n - ca.n)) * sqrt(cb.n * (t.n - cb.n)), 0), 6) AS r
+FROM g JOIN c ca ON ca.feature = g.a JOIN c cb ON cb.feature = g.b, t""",
     "pivot_features": wide("@lab_built", LAB_ITEMS, {"_mean": "value_mean", "_max": "value_max", "_min": "value_min"}),
     "sparse_matrix": matrix_cells("SELECT * FROM @baseline", label=False),
     "embedding_columns": "SELECT entity_id, "
@@ -375,6 +408,22 @@ JOIN @ids i ON i.entity_id = n.entity_id LEFT JOIN @outcomes o ON o.entity_id =
     "tfidf_topk": tfidf("SELECT row_id AS entity_id, clean_text AS text FROM @note_rows"),
     "tfidf_topk_stop": tfidf("SELECT row_id AS entity_id, clean_text AS text FROM @note_rows", stop=True),
     "tfidf_last_note": tfidf("SELECT entity_id, clean_text AS text FROM @last_notes"),
+    "hashing_tfidf_cells": """WITH c AS (
+  SELECT row_id AS entity_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 100 AS bucket, count(*) AS tf FROM @token_rows GROUP BY 1, 2),
+d AS (SELECT bucket, count(*) AS df FROM c GROUP BY bucket), n AS (SELECT count(*) AS n FROM @note_rows)
+SELECT entity_id, c.bucket, tf, df, round(tf * CASE WHEN df >= 3 THEN ln((n + 1)::DOUBLE / (df + 1)) ELSE 0.0 END, 6) AS weight
+FROM c JOIN d ON d.bucket = c.bucket, n""",
+    "embed_windows": rf"""WITH t AS (SELECT row_id AS entity_id, list_filter(string_split(clean_text, ' '), lambda w: w <> '') AS ws FROM @note_rows),
+x AS (SELECT entity_id, ws, unnest(range(greatest(ceil((len(ws) - {WINDOW}) / {WINDOW_STEP}::DOUBLE), 0)::BIGINT + 1)) AS i FROM t),
+v AS (SELECT entity_id, i, list_slice(ws, i * {WINDOW_STEP} + 1, i * {WINDOW_STEP} + {WINDOW}) AS own FROM x),
+w AS (SELECT entity_id, i, greatest(len(own), 1) AS weight, unnest(regexp_extract_all(array_to_string(own, ' '), '\w+')) AS w FROM v),
+s AS (SELECT entity_id, i, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {ENCODER_WIDTH} AS pos, any_value(weight) AS weight,
+  sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END) AS net FROM w GROUP BY 1, 2, 3),
+k AS (SELECT entity_id, i, count(*) AS n FROM w GROUP BY 1, 2),
+total AS (SELECT entity_id, sum(greatest(len(own), 1)) AS total FROM v GROUP BY 1),
+p AS (SELECT s.entity_id, s.pos, sum(weight * net / n::DOUBLE) AS value FROM s JOIN k ON k.entity_id = s.entity_id AND k.i = s.i GROUP BY 1, 2)
+SELECT t.entity_id, g.pos::INT AS pos, round(coalesce(p.value, 0) / t.total, 6) + 0.0 AS value
+FROM total t CROSS JOIN range({ENCODER_WIDTH}) AS g(pos) LEFT JOIN p ON p.entity_id = t.entity_id AND p.pos = g.pos""",
     "embed_text": rf"""
 WITH w AS (SELECT ROW_ID AS entity_id, unnest(regexp_extract_all(lower({to_tok('TEXT')}), '\w+')) AS w FROM @notes),
 s AS (SELECT entity_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {ENCODER_WIDTH} AS pos,
@@ -409,6 +458,9 @@ FROM s JOIN n ON n.entity_id = s.entity_id GROUP BY s.entity_id, pos HAVING sum(
     "cohort_auc": auc("score_rows", ["score_a", "score_b"], "respiratory"),
 }
 
+# storage changes no result
+ORACLES |= {f"clustered_{name}": ORACLES[name] for name in ("lab_features", "med_features", "diag_presence", "window_filter")}
+
 
 def _needed(sql: str, found: dict[str, str]) -> None:
     for name in re.findall(r"@(\w+)", sql):

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from ..config import DATE, ENGLISH_STOP_WORDS, ENTITY, FEATURE, VALUE, StudyParams
 from ..functions import numbers
 from ..functions import text as tx
-from ..operators import cohort, evaluate, explore, features, model, normalize, notes, period, tfidf, vectors
-from ..plans import modelling
-from ..plans.records import Study
+from ..operators import cohort, compare, evaluate, explore, features, model, normalize, notes, period, tfidf, vectors
+from ..plans import modelling, raw
+from ..plans.records import Records, Study
 from ..plans.scaled import ScaledFeatures
 from ..session import fresh_path, side_by_side, stage, tune
 from ..sources import readers, writers
+from ..sources.embedding_store import EmbeddingStore
 from ..sources.fixtures import Fixtures
 
 PARAMS = StudyParams()
@@ -31,6 +32,19 @@ KEYWORDS = ["deceased", "history ", "the", "de "]
 SECTION_TERM = "the"
 VECTOR_WIDTH = 64
 ENCODER_WIDTH = 32
+ENCODER_TASKS = 32
+WINDOW, WINDOW_STEP = 40, 30
+BUCKETS = 16
+# codes of different lengths, a longer one inside a shorter one's range among them
+MIXED_GROUPS = {
+    "respiratory": ["46", "47", "48"],
+    "pneumonia": [480, 481, 482],
+    "viral": ["4800", "4801"],
+    "long": ["48201", "E8051"],
+    "external": ["E80"],
+    "transport": ["E800", "E801", "E802"],
+    "status": ["V1", "V20"],
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,6 +263,68 @@ def embedding_store_incremental(t):
     return stored.select(ENTITY, F.posexplode("vec").alias("pos", VALUE)).select(ENTITY, "pos", r6(VALUE))
 
 
+class ClusteredTables(Tables):
+    """The same study over its raw tables written bucketed and sorted by entity."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder)
+        base, views = self.path("clustered"), self.views
+        tables = {n: getattr(views, n) for n in ("patients", "admissions", "diagnoses", "labevents", "prescriptions")}
+        raw.cluster(Records(**tables), base, BUCKETS)
+        self.records = raw.load_clustered(spark, base)
+
+
+def clustered_query(run: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    QUERIES[run.__name__] = lambda spark, folder: run(ClusteredTables(spark, folder))
+    return run
+
+
+@clustered_query
+def clustered_lab_features(t):
+    return lab_features(t)
+
+
+@clustered_query
+def clustered_med_features(t):
+    return med_features(t)
+
+
+@clustered_query
+def clustered_diag_presence(t):
+    return diag_presence(t)
+
+
+@clustered_query
+def clustered_window_filter(t):
+    return window_filter(t)
+
+
+@query
+def misfit_quarantine(t):
+    """Lab results with their text as the number: lines that do not read go aside, and all three counts are reported."""
+    path, schema = t.path("labevents"), readers.with_corrupt_column(raw.T.StructType.fromDDL("SUBJECT_ID BIGINT, ITEMID BIGINT, VALUENUM DOUBLE"))
+    t.views.labevents.select("SUBJECT_ID", "ITEMID", F.col("VALUE").alias("VALUENUM")).write.option("header", True).csv(path)
+    rows, plain = readers.read_csv(t.spark, path, schema), raw.T.StructType(schema.fields[:-1])
+    clean, rejected = t.path("clean"), t.path("rejected")
+    raw.quarantine(rows, plain, "labevents", clean, rejected)
+    kept = t.spark.read.schema(plain).parquet(clean).select(F.lit("clean").alias("kind"), F.col("ITEMID").cast("string").alias("what"))
+    gone = t.spark.read.parquet(rejected).select(F.lit("rejected").alias("kind"), F.concat_ws(": ", "field", "reason").alias("what"))
+    return kept.unionByName(gone).groupBy("kind", "what").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def embedding_store_arrivals(t):
+    """Three arrivals of notes: some, then all with some texts changed, then the same again, which adds nothing."""
+    store = EmbeddingStore(t.spark, t.path("store"))
+    make = partial(vectors.HashingEncoder, ENCODER_WIDTH)
+    docs = t.documents.select(ENTITY, F.col("text").alias("to_tok"))
+    first = docs.filter(F.col(ENTITY) % 3 != 0)
+    changed = docs.withColumn("to_tok", F.when(F.col(ENTITY) % 5 == 0, F.concat(F.lit("again "), "to_tok")).otherwise(F.col("to_tok")))
+    added = [store.update(arrival, make, "hashing", tasks=ENCODER_TASKS) for arrival in (first, changed, changed)]
+    counted = store.read().groupBy(ENTITY, "digest", "encoder").agg(F.count(F.lit(1)).alias("copies"), F.max(F.size("vec")).alias("width"))
+    return counted.withColumn("added_last", F.lit(added[-1]))
+
+
 # --- projections, filters ----------------------------------------------------------------------
 
 
@@ -307,6 +383,11 @@ def code_group_events(t):
     return cohort.code_group_events(t.inside(t.coded_diagnoses, "open")).select(ENTITY, DATE, FEATURE, "code_group")
 
 
+@query
+def code_groups_any_length(t):
+    return cohort.code_group_events(t.coded_diagnoses, MIXED_GROUPS).select(ENTITY, DATE, FEATURE, "code_group")
+
+
 @query
 def code_group_entities(t):
     return modelling.respiratory_entities(t)
@@ -507,6 +588,11 @@ def presence_corr(t):
     return explore.presence_correlation(wide, t.outcomes).select("a", "b", r6("r"))
 
 
+@query
+def presence_gram(t):
+    return explore.flag_correlation(t.diag_presence, t.ids).select("a", "b", "n", r6("r"))
+
+
 @query
 def uniqueness_check(t):
     return explore.uniqueness(t.views.patients, "SUBJECT_ID")
@@ -569,6 +655,20 @@ def period_parity(t):
     return period.period_parity(t.period, t.period_as(anchor="last_event", keep_without_events=False))
 
 
+@query
+def multiset_difference(t):
+    half, closed = (rounded_events(t.inside(t.labs, bounds)) for bounds in ("half_open", "closed"))
+    return compare.multiset_difference(half.drop(FEATURE), closed.drop(FEATURE))
+
+
+@query
+def frame_parity(t):
+    """Labs as numbers against labs as text: other values and fewer rows, of the same items on the same days."""
+    left = rounded_events(t.labs)
+    right = rounded_events(normalize.labs_from_text(t.views.labevents)).withColumn(VALUE, F.col(VALUE) + (F.col(ENTITY) % 7 == 0).cast("int"))
+    return compare.frame_parity(left, right, [ENTITY])
+
+
 @query
 def pivot_features(t):
     wide = features.pivot_features(t.lab_features, LAB_ITEMS, ["mean", "max", "min"])
@@ -669,10 +769,24 @@ def hashing_tfidf_mass(t):
     return tfidf.hashing_tfidf(words).select(ENTITY, total.alias("n_terms"))
 
 
+@query
+def hashing_tfidf_cells(t):
+    words = t.documents.select(ENTITY, tx.clean_tokens(F.col("text"), ENGLISH_STOP_WORDS).alias("words"))
+    return tfidf.portable_hashing_tfidf(words).select(ENTITY, "bucket", "tf", "df", r6("weight"))
+
+
+@query
+def embed_windows(t):
+    docs = t.documents.select(ENTITY, tx.clean_text(F.col("text")).alias("to_tok"))
+    make = partial(vectors.HashingEncoder, ENCODER_WIDTH)
+    encoded = vectors.embed_windows(docs, make, size=WINDOW, step=WINDOW_STEP, tasks=ENCODER_TASKS)
+    return encoded.select(ENTITY, F.posexplode("vec").alias("pos", VALUE)).select(ENTITY, "pos", r6(VALUE))
+
+
 @query
 def embed_text(t):
     docs = t.documents.select(ENTITY, tx.tokenizer_text(F.col("text")).alias("to_tok"))
-    encoded = vectors.embed_text(docs, partial(vectors.HashingEncoder, ENCODER_WIDTH))
+    encoded = vectors.embed_text(docs, partial(vectors.HashingEncoder, ENCODER_WIDTH), tasks=ENCODER_TASKS)
     cells = encoded.select(ENTITY, F.posexplode("vec").alias("pos", VALUE)).filter(F.col(VALUE) != 0)
     return cells.select(ENTITY, "pos", r6(VALUE))
 

@@ -84,7 +84,8 @@ def popular_features_by_train_rows(events: DataFrame, low_thresh: int, train: Da
 def train_features_only(events: DataFrame, train: DataFrame | Column) -> DataFrame:
     """Event rows whose feature occurs among training entities."""
     seen = _support(_pairs(events, []), train).filter(F.col("n_train_entities") > 0).select(FEATURE)
-    return spread_join(events, seen, FEATURE, "left_semi", spread_by=[ENTITY])
+    # written, so the planner knows how short the list is; adaptive execution splits a hot feature if it is not
+    return events.join(stage(seen, "seen_features"), FEATURE, "left_semi")
 
 
 def build_features(
@@ -141,7 +142,7 @@ def process_family(
 def max_scale(long: DataFrame) -> DataFrame:
     """Divide each value by its feature's maximum; rows without a defined result go."""
     highest = long.groupBy(FEATURE).agg(F.max(VALUE).alias("_max")).filter(F.col("_max") != 0)
-    scaled = spread_join(long, highest, FEATURE, spread_by=[ENTITY])
+    scaled = long.join(stage(highest, "maxima"), FEATURE)
     return scaled.select(ENTITY, FEATURE, (F.col(VALUE) / F.col("_max")).alias(VALUE)).filter(F.col(VALUE).isNotNull())
 
 
@@ -204,7 +205,7 @@ def join_left_features(baseline: DataFrame, extra: DataFrame, fill: float = 0.0)
 def restrict_to_entities(extra: DataFrame, baseline: DataFrame) -> DataFrame:
     """Long extra features of the entities that have at least one baseline feature."""
     known = baseline.select(ENTITY).distinct()
-    return spread_join(extra, known, ENTITY, "left_semi", spread_by=[FEATURE])
+    return extra.join(known, ENTITY, "left_semi")
 
 
 def codemap(long: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def codemap(long: DataFrame) -> DataFrame:
 
 def indexed(long: DataFrame, codes: DataFrame) -> DataFrame:
     """Long rows with the feature's id; features outside the map are dropped."""
-    return spread_join(long, codes, FEATURE, spread_by=[ENTITY]).select(ENTITY, F.col("idx").cast("int"), VALUE)
+    return long.join(codes, FEATURE).select(ENTITY, F.col("idx").cast("int"), VALUE)
 
 
 def index_value_lists(cells: DataFrame) -> DataFrame:

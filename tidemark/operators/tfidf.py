@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ENTITY, FEATURE, VALUE
@@ -56,3 +56,24 @@ def hashing_tfidf(docs: DataFrame, words: str = "words", buckets: int = 100, min
     """Hashed term counts and their inverse-document-frequency weights as vectors."""
     hashed = HashingTF(inputCol=words, outputCol="raw_features", numFeatures=buckets).transform(docs)
     return IDF(inputCol="raw_features", outputCol="features", minDocFreq=min_doc_freq).fit(hashed).transform(hashed)
+
+
+def portable_bucket(term: str | Column, buckets: int) -> Column:
+    """A term's bucket by the first 32 bits of its MD5, which any engine can repeat."""
+    column = F.col(term) if isinstance(term, str) else term
+    return F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("bigint") % buckets
+
+
+def portable_hashing_tfidf(docs: DataFrame, words: str = "words", buckets: int = 100, min_doc_freq: int = 3) -> DataFrame:
+    """``entity_id, bucket, tf, df, weight``: hashed term counts and their weights, one row per bucket a document has.
+
+    ``weight = tf * ln((n + 1) / (df + 1))``, 0 where fewer than ``min_doc_freq`` documents have the bucket. The form of
+    :func:`hashing_tfidf` with a hash that does not depend on the engine. A document is a row of ``docs``, one per entity. Counts are
+    added up on each task before the shuffle, and document frequencies are at most ``buckets`` rows.
+    """
+    terms = docs.select(ENTITY, F.explode(words).alias("term"))
+    counts = terms.groupBy(ENTITY, portable_bucket("term", buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
+    frequency = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    idf = F.when(F.col("df") >= min_doc_freq, F.log((n_docs + 1) / (F.col("df") + 1))).otherwise(0.0)
+    return counts.join(frequency, "bucket").select(ENTITY, "bucket", "tf", "df", (F.col("tf") * idf).alias("weight"))

@@ -75,6 +75,53 @@ def embed_text(
     return docs.select(ENTITY, once(F.col(text)).alias("vec"))
 
 
+def text_windows(docs: DataFrame, text: str = "to_tok", size: int = 256, step: int = 192) -> DataFrame:
+    """``entity_id, window, n_words, text``: overlapping windows of at most ``size`` blank-separated words, ``step`` apart.
+
+    Every word is in a window, and a text that fits one has one; so does an empty or null text, of no words.
+    """
+    if not 0 < step <= size:
+        raise ValueError("windows must not leave words out")
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    last = F.greatest(F.ceil((F.size("_words") - size) / step), F.lit(0)).cast("int")
+    windows = docs.select(ENTITY, words.alias("_words")).select(ENTITY, "_words", F.explode(F.sequence(F.lit(0), last)).alias("window"))
+    own = windows.select(ENTITY, "window", F.slice("_words", F.col("window") * step + 1, F.lit(size)).alias("_own"))
+    return own.select(ENTITY, "window", F.size("_own").alias("n_words"), F.array_join("_own", " ").alias("text"))
+
+
+def embed_windows(
+    docs: DataFrame,
+    make_encoder: Callable[[], Encoder],
+    text: str = "to_tok",
+    size: int = 256,
+    step: int = 192,
+    tasks: int = 64,
+    lengths: int = 8,
+) -> DataFrame:
+    """``entity_id, vec``: texts of any length by an encoder that takes ``size`` words, as the mean of their windows by words.
+
+    Windows are dealt to ``tasks`` tasks at random places and sorted by length class there, so a batch holds windows of like
+    length and a long text is not one task's work. The mean over windows is a running aggregate. A text without words
+    keeps its encoder's vector of the empty text.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    windows = text_windows(docs, text, size, step)
+    by_class = F.floor(F.col("n_words") * lengths / size)
+    dealt = windows.repartition(tasks, F.xxhash64(ENTITY, "window")).sortWithinPartitions(by_class)
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = make_encoder()
+        for batch in batches:
+            yield pd.Series(list(np.asarray(encoder(batch.tolist()), dtype="float64")))
+
+    once = encode.asNondeterministic()
+    weight = F.greatest(F.col("n_words"), F.lit(1)).cast("double").alias("weight")
+    vectors = dealt.select(ENTITY, weight, array_to_vector(once("text")).alias("vec"))
+    pooled = vectors.groupBy(ENTITY).agg(Summarizer.mean(F.col("vec"), F.col("weight")).alias("mean"))
+    return pooled.select(ENTITY, vector_to_array("mean").alias("vec"))
+
+
 def mean_pool(token_vectors: DataFrame, mask: str | None = None) -> DataFrame:
     """``(entity_id, vec)``: the mean of an entity's vectors, as an array of the input's width.
 
