@@ -203,15 +203,58 @@ def test_confirmed_links_are_alike_and_few_are_missed(spark):
     assert 0 in kept and 5000 not in kept and {5001, 5002, 5003, 5004} & kept == {5001, 5003}
 
 
-def test_close_pairs_are_all_pairs_of_other_groups():
-    rng = np.random.default_rng(4)
-    bits = np.repeat(rng.integers(0, 2, (20, 256)), 20, axis=0) ^ (rng.random((400, 256)) < 0.1)
-    values = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
-    known, cell = np.sort(rng.integers(0, 60, 400)), np.repeat([0, 1], 200)
-    got = [pair for a, b in simhash.close_pairs(cell, values, known, 50, slab=16) for pair in zip(a.tolist(), b.tolist())]
-    apart = np.bitwise_count(values[:, None] ^ values[None, :]).sum(axis=2)
-    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if cell[a] == cell[b] and known[a] != known[b] and apart[a, b] <= 50}
-    assert len(want) > 500 and set(got) == want and len(got) == len(want)
+def test_rare_shingles_lose_no_alike_pair(spark):
+    """Families of sets with some hashes replaced, in two parts and several groups; pairs of one group are not wanted."""
+    rng = random.Random(11)
+    rows, sets = [], {}
+    for i in range(240):
+        part, base = i % 2, [hash((i % 6, k)) for k in range(rng.randint(40, 60))]
+        own = {x if rng.random() > 0.04 else rng.getrandbits(62) for x in base} | {rng.getrandbits(62) for _ in range(i % 3)}
+        sets[i] = part, i if i % 4 else 1000 + part, own
+        rows.append((part, i, sets[i][1], bytearray(np.sort(np.array([x & (2**62 - 1) for x in own], np.int64)).tobytes())))
+        sets[i] = part, sets[i][1], {x & (2**62 - 1) for x in own}
+    rows.append((0, 998, 998, bytearray()))
+    frame = spark.createDataFrame(rows, "part long, id long, known long, own binary").repartition(5)
+    got = {(r.a, r.b) for r in simhash.rare_shingle_pairs(frame, 0.8).collect()}
+    want, possible = set(), 0
+    for a in range(240):
+        for b in range(a + 1, 240):
+            (p, g, x), (q, h, y) = sets[a], sets[b]
+            possible += p == q and g != h
+            if p == q and g != h and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                want.add((a, b))
+    assert len(want) > 100 and want <= got and len(got) < possible / 2
+    assert all(sets[a][0] == sets[b][0] and sets[a][1] != sets[b][1] for a, b in got)
+    confirmed = {(r.a, r.b) for r in simhash.alike(spark.createDataFrame(sorted(got), "a long, b long"), frame.select("id", "own"), 0.8).collect()}
+    assert confirmed == want
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Four hundred texts with one word changed each: most pairs are not alike, and the groups are exactly those of all links."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(400):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        texts[i] = " ".join(words)
+    grams = {i: {tuple(w[k : k + 5]) for k in range(56)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    root = list(range(400))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(400):
+        for b in range(a + 1, 400):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    distance = simhash.bits_apart(0.8, 128, deviations=3)
+    groups = simhash.near_groups(docs, 5, distance, width=2, repeats=False, likeness=0.8, bits=16, rounds=10)
+    assert {r.doc_id: r.component_id for r in groups.collect()} == {i: find(i) for i in range(400)}
 
 
 def test_first_word_of_a_wide_print_is_the_narrow_one():

@@ -10,7 +10,7 @@ from math import acos, floor, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -262,37 +262,6 @@ def link_cells(cell: np.ndarray, value: np.ndarray, distance: int, slab: int = 1
     return parent
 
 
-def close_pairs(
-    cell: np.ndarray, value: np.ndarray, known: np.ndarray, distance: int, slab: int = 1 << 15
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs of a cell within ``distance`` whose ``known`` groups differ.
-
-    The index of :func:`link_cells`, searched for every pair instead of for links that connect. Values come
-    sorted by cell, group and Gray rank, so that a large group fills nodes of its own and is skipped as a whole.
-    """
-    levels = _index_levels(cell, value)
-    spans = [(np.minimum.reduceat(known, x[0]), np.maximum.reduceat(known, x[0])) for x in levels if len(known)]
-    top = len(levels) - 1
-    whole = np.flatnonzero(levels[top][1] > 1)
-    waiting = [(top, whole[i : i + slab], whole[i : i + slab]) for i in range(0, len(whole), slab)]
-    while waiting:
-        level, a, b = waiting.pop()
-        _, _, pattern, mask, children = levels[level]
-        low, high = spans[level]
-        open_ = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
-        a, b = a[open_], b[open_]
-        shared = mask[a] & mask[b]
-        close = _apart(pattern[a] & shared, pattern[b] & shared) <= distance
-        a, b = a[close], b[close]
-        if not len(a):
-            continue
-        if level == 0:
-            yield a, b
-            continue
-        below_a, below_b = _below(children, a, b)
-        waiting += [(level - 1, below_a[i : i + slab], below_b[i : i + slab]) for i in range(0, len(below_a), slab)]
-
-
 def _numbers(cells: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((cells[1:] != cells[:-1]).any(axis=1)))) if len(cells) else np.zeros(0, int)
 
@@ -310,27 +279,13 @@ def _links_of(distance: int, names: list[str]):
 
 
 def _following(distance: int, names: list[str]):
-    """Pairs of neighbours in the order of a cell that are within ``distance``."""
-
-    def linked(cells: np.ndarray, ids: np.ndarray, known: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near = np.flatnonzero((cells[1:] == cells[:-1]).all(axis=1) & (_apart(values[1:], values[:-1]) <= distance))
-        yield pa.record_batch([pa.array(ids[near]), pa.array(ids[near + 1])], ["a", "b"])
-
-    return _by_cells(names, linked)
-
-
-def _pairs_of(distance: int, names: list[str], chosen: list[list[int]]):
-    """All pairs of the cells of a task that differ in ``known``; a pair comes from the first mask it agrees on, so once."""
+    """Pairs of neighbours in the order of a cell that are within ``distance`` and in different groups, the smaller id first."""
 
     def linked(cells: np.ndarray, ids: np.ndarray, known: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a, b in close_pairs(_numbers(cells), values, known, distance):
-            differ, turn = values[a] ^ values[b], cells[a, 0]
-            kept = np.ones(len(a), bool)
-            for number, mask in enumerate(np.array(chosen, np.uint64)):
-                # the last test drops patterns that share a cell by equal hashes
-                agree = ~(differ & mask).any(axis=1)
-                kept &= np.where(turn > number, ~agree, (turn < number) | agree)
-            yield pa.record_batch([pa.array(ids[a[kept]]), pa.array(ids[b[kept]])], ["a", "b"])
+        same = (cells[1:] == cells[:-1]).all(axis=1) & (known[1:] != known[:-1])
+        near = np.flatnonzero(same & (_apart(values[1:], values[:-1]) <= distance))
+        ends = np.sort(np.stack([ids[near], ids[near + 1]], axis=1), axis=1)
+        yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
     return _by_cells(names, linked)
 
@@ -360,6 +315,12 @@ def _by_cells(names: list[str], linked):
     return run
 
 
+def _rotated(fp, turn: int):
+    """The 64 bits of a column moved up by ``turn`` in a circle."""
+    turn %= 64
+    return F.shiftleft(fp, turn).bitwiseOR(F.shiftrightunsigned(fp, 64 - turn)) if turn else fp
+
+
 def gray_rank_column(fp):
     """Gray rank as a column expression; sorts as signed, which only rotates the order."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -386,8 +347,11 @@ def fingerprint_links(classes: DataFrame, distance: int = 4, blocks: int = 6, bi
     return _cells(classes.withColumn("known", F.lit(0).cast("bigint")), chosen).mapInArrow(_links_of(distance, names), "a long, b long").distinct()
 
 
-def _cells(classes: DataFrame, chosen: list[list[int]]) -> DataFrame:
-    """``mask, key, fp0, ..., id, known``: every class under each mask, dealt out by pattern and sorted in each cell."""
+def _cells(classes: DataFrame, chosen: list[list[int]], turn: int | None = None) -> DataFrame:
+    """``mask, key, fp0, ..., id, known``: every class under each mask, dealt out by pattern and sorted in each cell.
+
+    Cells are sorted by group and Gray rank; with ``turn`` by the Gray rank alone, of the print's bits from another place on.
+    """
     names = [c for c in classes.columns if c not in ("id", "known")]
     # a constant table of one row per mask
     table = F.array(
@@ -402,21 +366,26 @@ def _cells(classes: DataFrame, chosen: list[list[int]]) -> DataFrame:
     key = F.xxhash64(*patterns) if len(names) > 1 else patterns[0]
     dealt = entries.select("mask", key.alias("key"), *names, "id", "known").repartition(shuffle_tasks(classes), "mask", "key")
     # the rank is made from the print after the shuffle
-    ranked = dealt.withColumn("rank", gray_rank_column(F.col(names[0])))
-    return ranked.sortWithinPartitions("mask", "key", "known", "rank").select("mask", "key", *names, "id", "known")
+    word = _rotated(F.col(names[(turn or 0) % len(names)]), 8 * (turn or 0))
+    ranked = dealt.withColumn("rank", gray_rank_column(word))
+    order = ["mask", "key", "known", "rank"] if turn is None else ["mask", "key", "rank", "id"]
+    return ranked.sortWithinPartitions(*order).select("mask", "key", *names, "id", "known")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, words: int, likeness: float) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets of shingles have a Jaccard likeness of ``likeness`` or more.
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``id, own``: the sorted 64-bit hashes of a text's shingles, each once, as bytes."""
 
-    ``texts`` holds ``id, text``. The sets are made once for each text that is in a pair, and written.
-    """
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
             found = [shingles(t, words, repeats=False).tobytes() for t in raw_texts(batch["text"])]
             yield pa.record_batch([batch["id"], pa.array(found, pa.binary())], ["id", "own"])
 
+    return texts.select("id", "text").mapInArrow(run, "id long, own binary")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets (``id, own``) have a Jaccard likeness of ``likeness`` or more."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
             kept = []
@@ -430,32 +399,101 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, likeness: float) -> Da
                 kept.append(shared + 1e-9 >= likeness * (len(small) + len(large) - shared))
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(kept)), batch["b"].filter(pa.array(kept))], ["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    made = stage(texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, own binary"), "sets")
-    with_a = pairs.join(made.select(F.col("id").alias("a"), F.col("own").alias("x")), "a")
-    both = with_a.join(made.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a")
+    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _set_rows(sets: DataFrame) -> DataFrame:
+    """``part, id, known, shingle``: a row per hash of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, 4_000_000):
+            own = [np.frombuffer(x, np.int64) for x in raw_texts(batch["own"])]
+            many = [len(x) for x in own]
+            columns = [pa.array(np.repeat(np.asarray(batch[c]), many)) for c in ("part", "id", "known")]
+            flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(flat)], ["part", "id", "known", "shingle"])
+
+    return sets.select("part", "id", "known", "own").mapInArrow(run, "part long, id long, known long, shingle long")
+
+
+def rare_shingle_pairs(sets: DataFrame, likeness: float) -> DataFrame:
+    """``a, b``: pairs of sets of one ``part`` and different ``known`` groups that can be alike; no alike pair is missing.
+
+    ``sets`` holds ``part, id, known, own``. With every set's shingles in one order, the rarest of the part first, two alike sets
+    share one among the first few of each: of the longer one ``n - likeness * n``, of the shorter one ``n - 2 * likeness / (1 + likeness) * n``, one
+    more each. So near copies that differ in too many places, each in its own, never meet, however many they are.
+    The order takes two shuffles of the shingles; a pair must also be long enough from where it meets on.
+    """
+    share = likeness / (1 + likeness)
+    among = Window.partitionBy("part", "shingle")
+    counted = _set_rows(sets).withColumn("n", F.count(F.lit(1)).over(among))
+    own = Window.partitionBy("id")
+    placed = counted.select(
+        "*", F.row_number().over(own.orderBy("n", "shingle")).alias("at"), F.count(F.lit(1)).over(own).alias("size")
+    ).filter(F.col("n") > 1)
+    first = placed.filter(F.col("at") <= F.col("size") - F.ceil(likeness * F.col("size") - 1e-9) + 1)
+    shorter = first.filter(F.col("at") <= F.col("size") - F.ceil(2 * share * F.col("size") - 1e-9) + 1)
+    x, y = first.alias("x"), shorter.alias("y")
+    ahead = F.struct("y.size", "y.id") < F.struct("x.size", "x.id")
+    most = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    met = (
+        (F.col("x.part") == F.col("y.part"))
+        & (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.known") != F.col("y.known"))
+        & ahead
+        & (F.col("y.size") >= likeness * F.col("x.size") - 1e-9)
+        & (most >= share * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    )
+    return x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def confirmed_links(
-    classes: DataFrame, texts: DataFrame, words: int, distance: int, likeness: float, bits: int = 17, rounds: int = 8
+    classes: DataFrame,
+    texts: DataFrame,
+    words: int,
+    distance: int,
+    likeness: float,
+    bits: int = 16,
+    rounds: int = 10,
+    shares: int = 5,
+    turns: int = 4,
 ) -> DataFrame:
     """``a, b``: links between classes whose sets of shingles have a Jaccard likeness of ``likeness`` or more.
 
-    The prints only propose pairs: those within ``distance`` bits that agree on one of the sampled masks. Every proposed pair
-    is compared by its sets in :func:`alike`. First the neighbours in the cells of one mask in sixteen are, which
-    connects most of a large group by a number of pairs that grows with its size; then all other pairs but those that
-    are in one group by confirmed links already, which would connect nothing.
+    The prints only propose: the index connects what lies within ``distance`` bits and agrees on one of the sampled masks. A class
+    that is alone then is done, and the sets of the others are made once. In each of the ``turns``, over one of the ``shares`` of the
+    masks and in another order of the bits, neighbours of different groups are compared by their sets: a number of pairs
+    that grows with the classes, not with the square of a group, and that joins a large group step by step. Parts that the
+    prints connect and that are not one group by then are searched for all other links by :func:`rare_shingle_pairs`,
+    which finds them exactly. No refused pair is compared again.
     """
+    spark = classes.sparkSession
     names = [c for c in classes.columns if c != "id"]
     chosen = sampled_masks(len(names), bits, rounds)
-    plain = classes.withColumn("known", F.lit(0).cast("bigint"))
-    near = stage(_cells(plain, chosen[::16]).mapInArrow(_following(distance, names), "a long, b long").distinct(), "neighbours")
-    roots = component_roots(alike(near, texts, words, likeness), "a", "b")
-    grouped = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", *names, F.coalesce("root", "id").alias("known"))
-    pairs = stage(_cells(grouped, chosen).mapInArrow(_pairs_of(distance, names, chosen), "a long, b long"), "pairs")
-    links = alike(pairs, texts, words, likeness)
-    return links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    loose = component_roots(fingerprint_links(classes, distance, bits=bits, rounds=rounds), "a", "b")
+    both = loose.select("node", "root").unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+    crowd = stage(classes.join(both.select(F.col("node").alias("id"), F.col("root").alias("part")), "id"), "crowd")
+    sets = stage(shingle_sets(texts.join(crowd.select("id"), "id", "left_semi"), words), "sets")
+    no_pairs = spark.createDataFrame([], "a long, b long")
+    tried, links, roots = no_pairs, no_pairs, spark.createDataFrame([], "node long, root long")
+    for turn in range(turns + 1):
+        grouped = crowd.join(roots, F.col("id") == F.col("node"), "left").withColumn("known", F.coalesce("root", "id"))
+        if turn < turns:
+            entries = _cells(grouped.select("id", *names, "known"), chosen[turn::shares], turn)
+            found = entries.mapInArrow(_following(distance, names), "a long, b long").distinct()
+        else:
+            # the smallest and the largest group of a part tell whether it has one only
+            parts = grouped.groupBy("part").agg(F.min("known").alias("least"), F.max("known").alias("most")).filter("least <> most")
+            rest = stage(grouped.select("id", "part", "known").join(parts.select("part"), "part", "left_semi"), "rest")
+            found = rare_shingle_pairs(sets.join(rest, "id"), likeness)
+        pairs = stage(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(stage(alike(pairs, sets, likeness), "confirmed"))
+        if turn < turns:
+            tried = tried.unionByName(pairs)
+            roots = component_roots(links, "a", "b")
+    return links
 
 
 def near_groups(
