@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, pieces, simhash, trie_dedup
 from tidemark.llm.queries import PIECE_MODEL
-from tidemark.session import stage
+from tidemark.session import fresh_path, stage, staging
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Prints propose the pairs, with a limit and masks that miss under 1 % of those at 0.8; the shingle sets decide.
     """
-    distance = simhash.bits_apart(0.8, 256, deviations=3)
+    distance = simhash.bits_apart(0.8, 128, deviations=3)
     return simhash.one_of_each_group(
-        docs, words=5, width=4, repeats=False, distance=distance, likeness=0.8, bits=17, rounds=8
+        docs, words=5, width=2, repeats=False, distance=distance, likeness=0.8, bits=16, rounds=10
     )
 
 
@@ -64,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        target = fresh_path(spark, name)
+        with staging(spark):  # what a stage wrote on its way goes with it
+            docs = stage(function(spark, docs, sf_dir), name, target)
     return STAGES[-1][1](spark, docs, sf_dir)
