@@ -457,8 +457,8 @@ def confirmed_links(
     likeness: float,
     bits: int = 16,
     rounds: int = 10,
-    shares: int = 5,
-    turns: int = 4,
+    shares: int = 2,
+    turns: int = 1,
 ) -> DataFrame:
     """``a, b``: links between classes whose sets of shingles have a Jaccard likeness of ``likeness`` or more.
 
@@ -476,8 +476,8 @@ def confirmed_links(
     both = loose.select("node", "root").unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
     crowd = stage(classes.join(both.select(F.col("node").alias("id"), F.col("root").alias("part")), "id"), "crowd")
     sets = stage(shingle_sets(texts.join(crowd.select("id"), "id", "left_semi"), words), "sets")
-    no_pairs = spark.createDataFrame([], "a long, b long")
-    tried, links, roots = no_pairs, no_pairs, spark.createDataFrame([], "node long, root long")
+    tried = links = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
     for turn in range(turns + 1):
         grouped = crowd.join(roots, F.col("id") == F.col("node"), "left").withColumn("known", F.coalesce("root", "id"))
         if turn < turns:
@@ -489,7 +489,9 @@ def confirmed_links(
             rest = stage(grouped.select("id", "part", "known").join(parts.select("part"), "part", "left_semi"), "rest")
             found = rare_shingle_pairs(sets.join(rest, "id"), likeness)
         pairs = stage(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(stage(alike(pairs, sets, likeness), "confirmed"))
+        confirmed = stage(alike(pairs, sets, likeness), "confirmed")
+        # what the groups stand for already is a star, so that only new links make paths longer
+        links = confirmed.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         if turn < turns:
             tried = tried.unionByName(pairs)
             roots = component_roots(links, "a", "b")
