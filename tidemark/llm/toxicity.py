@@ -22,7 +22,8 @@ _WORD = re.compile(r"\w+")
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te ti toi vous votre vos usted ustedes du dich dir dein deine ihr euch sie".split())
 #: Signs that stand for letters in disguised words.
 _DISGUISE = str.maketrans("013457@$!|*", "oieastasii*")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$!|*]+[^\W\d_]+")
+# from the first letter of a run only, without going back: a text of one run is read once
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!|*]++[^\W\d_]+")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _SPELT = re.compile(r"\b(?:[^\W\d_][ .\-*]){3,}[^\W\d_]\b")
 _REACH = 8  # words within which address and insult count as near
