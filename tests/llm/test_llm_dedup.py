@@ -229,6 +229,47 @@ def test_rare_shingles_lose_no_alike_pair(spark):
     assert confirmed == want
 
 
+def test_differences_lose_no_alike_pair(spark):
+    """Sets made from one by replacing hashes, some of them shared; the larger group is searched from every set outside it."""
+    rng = random.Random(23)
+    base = rng.sample(range(1 << 40), 50)
+    swaps = [(rng.sample(base, 3), rng.sample(range(1 << 40), 3)) for _ in range(12)]
+    sets = {0: set(base)}
+    for i in range(1, 160):
+        own = set(base)
+        for gone, new in rng.sample(swaps, rng.randint(0, 4)):
+            own = own - set(gone) | set(new)
+        sets[i] = {x if rng.random() > 0.03 else rng.getrandbits(40) for x in own}
+    sets[160], sets[161] = set(), {7}
+    known = {i: 0 if i % 3 else i for i in sets} | {0: 0}
+
+    def as_bytes(own):
+        return bytearray(np.array(sorted(own), np.int64).tobytes())
+
+    rows = [(3, i, known[i], as_bytes(own), 0, as_bytes(sets[0])) for i, own in sets.items()]
+    schema = "part long, id long, known long, own binary, rep long, rep_own binary"
+    against = simhash.differences(spark.createDataFrame(rows, schema).repartition(4), 0.8)
+    found = {r.id: r for r in against.collect()}
+
+    def are_alike(a, b):
+        x, y = sets[a], sets[b]
+        return len(x & y) >= 0.8 * len(x | y) - 1e-9
+
+    for i, own in sets.items():
+        assert sorted(found[i].removed) == sorted(sets[0] - own) and sorted(found[i].added) == sorted(own - sets[0])
+        assert found[i].core == are_alike(i, 0)
+    inside = {i for i in sets if known[i] == 0 or found[i].core}
+    got = {(r.a, r.b) for r in simhash.pairs_with_differences(against).collect()}
+    possible = {(min(a, b), max(a, b)) for a in inside for b in set(sets) - inside}
+    want = {(a, b) for a, b in possible if are_alike(a, b)}
+    assert len(want) > 50 and want <= got <= possible and len(got) < len(possible)
+    # two alike sets without a difference in common are both of the core
+    for a in sets:
+        for b in sets:
+            common = set(found[a].removed) & set(found[b].removed) or set(found[a].added) & set(found[b].added)
+            assert common or not are_alike(a, b) or (found[a].core and found[b].core) or not (sets[a] or sets[b])
+
+
 def test_one_large_group_of_near_copies(spark):
     """Four hundred texts with one word changed each: most pairs are not alike, and the groups are exactly those of all links."""
     rng = random.Random(5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, floor, pi, sqrt
+from math import acos, ceil, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -405,26 +405,26 @@ def alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
 
 
 def _set_rows(sets: DataFrame) -> DataFrame:
-    """``part, id, known, shingle``: a row per hash of each set."""
+    """``part, id, shingle``: a row per hash of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 4_000_000):
             own = [np.frombuffer(x, np.int64) for x in raw_texts(batch["own"])]
             many = [len(x) for x in own]
-            columns = [pa.array(np.repeat(np.asarray(batch[c]), many)) for c in ("part", "id", "known")]
+            columns = [pa.array(np.repeat(np.asarray(batch[c]), many)) for c in ("part", "id")]
             flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(flat)], ["part", "id", "known", "shingle"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(flat)], ["part", "id", "shingle"])
 
-    return sets.select("part", "id", "known", "own").mapInArrow(run, "part long, id long, known long, shingle long")
+    return sets.select("part", "id", "own").mapInArrow(run, "part long, id long, shingle long")
 
 
-def rare_shingle_pairs(sets: DataFrame, likeness: float) -> DataFrame:
-    """``a, b``: pairs of sets of one ``part`` and different ``known`` groups that can be alike; no alike pair is missing.
+def rare_shingles(sets: DataFrame, likeness: float) -> DataFrame:
+    """``part, shingle, id, size, at, short``: the places of each set where another one that can be alike must meet it.
 
-    ``sets`` holds ``part, id, known, own``. With every set's shingles in one order, the rarest of the part first, two alike sets
-    share one among the first few of each: of the longer one ``n - likeness * n``, of the shorter one ``n - 2 * likeness / (1 + likeness) * n``, one
-    more each. So near copies that differ in too many places, each in its own, never meet, however many they are.
-    The order takes two shuffles of the shingles; a pair must also be long enough from where it meets on.
+    ``sets`` holds ``part, id, own``. With every set's shingles in one order, the rarest of the part first, two alike sets
+    share one among the first few of each: of the longer one ``n - likeness * n``, of the shorter one ``n - 2 * likeness / (1 + likeness) * n``
+    (``short`` tells whether a place is among these), one more each. Shingles that one set alone has are counted in the places and left
+    out. The order takes two shuffles of the shingles.
     """
     share = likeness / (1 + likeness)
     among = Window.partitionBy("part", "shingle")
@@ -434,8 +434,53 @@ def rare_shingle_pairs(sets: DataFrame, likeness: float) -> DataFrame:
         "*", F.row_number().over(own.orderBy("n", "shingle")).alias("at"), F.count(F.lit(1)).over(own).alias("size")
     ).filter(F.col("n") > 1)
     first = placed.filter(F.col("at") <= F.col("size") - F.ceil(likeness * F.col("size") - 1e-9) + 1)
-    shorter = first.filter(F.col("at") <= F.col("size") - F.ceil(2 * share * F.col("size") - 1e-9) + 1)
-    x, y = first.alias("x"), shorter.alias("y")
+    short = F.col("at") <= F.col("size") - F.ceil(2 * share * F.col("size") - 1e-9) + 1
+    return first.select("part", "shingle", "id", "size", "at", short.alias("short"))
+
+
+def rare_shingle_neighbours(rare: DataFrame, likeness: float, tasks: int, turn: int = 0) -> DataFrame:
+    """``a, b``: sets of different ``known`` groups that follow each other in the random order of a shared rare shingle.
+
+    ``rare`` has the columns of :func:`rare_shingles` and ``known``. There are no more pairs than rows, and a shingle that very many sets
+    share is cut at the borders of ranges: a start that joins dense groups, so that
+    fewer are left to tell apart.
+    """
+    share = likeness / (1 + likeness)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in pieces_of(batches, 4_000_000):
+            rows = np.stack([np.asarray(batch[c]) for c in ("part", "shingle", "known", "id", "size", "at")], axis=1).astype(np.int64)
+            rows = rows if last is None else np.concatenate([last, rows])
+            if not len(rows):
+                continue
+            last = rows[-1:]
+            x, y = rows[:-1], rows[1:]
+            least, most = np.minimum(x[:, 4], y[:, 4]), np.maximum(x[:, 4], y[:, 4])
+            shared = 1 + np.minimum(x[:, 4] - x[:, 5], y[:, 4] - y[:, 5])
+            met = (x[:, :2] == y[:, :2]).all(axis=1) & (x[:, 2] != y[:, 2])
+            met &= (least >= likeness * most - 1e-9) & (shared >= share * (least + most) - 1e-9)
+            ends = np.sort(np.stack([x[met, 3], y[met, 3]], axis=1), axis=1)
+            yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    order = ["part", "shingle", "_order"]
+    mixed = rare.select("part", "shingle", F.xxhash64("id", "shingle", F.lit(turn)).alias("_order"), "known", "id", "size", F.col("at").cast("bigint"))
+    return mixed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+
+
+def rare_shingle_pairs(sets: DataFrame, likeness: float) -> DataFrame:
+    """:func:`pairs_that_meet` of sets given as ``part, id, known, own``."""
+    return pairs_that_meet(rare_shingles(sets, likeness).join(sets.select("id", "known"), "id"), likeness)
+
+
+def pairs_that_meet(rare: DataFrame, likeness: float) -> DataFrame:
+    """``a, b``: pairs of sets of one ``part`` and different ``known`` groups that can be alike; no alike pair is missing.
+
+    ``rare`` has the columns of :func:`rare_shingles` and ``known``. Near copies that differ in too many places, each in its own, never
+    meet, however many they are. A pair must also be long enough from where it meets on.
+    """
+    share = likeness / (1 + likeness)
+    x, y = rare.alias("x"), rare.filter("short").alias("y")
     ahead = F.struct("y.size", "y.id") < F.struct("x.size", "x.id")
     most = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
     met = (
@@ -449,6 +494,57 @@ def rare_shingle_pairs(sets: DataFrame, likeness: float) -> DataFrame:
     return x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def differences(sets: DataFrame, likeness: float) -> DataFrame:
+    """``part, id, known, rep, core, need, removed, added``: each set against its part's representative.
+
+    ``sets`` holds ``part, id, known, own, rep, rep_own``. ``removed`` and ``added`` are the shingles that only the representative or only the set has. Two sets
+    with ``removed`` and ``added`` in common ``c`` times share ``m - removed - removed' + c`` shingles, ``m`` the representative's number. So
+    they are alike exactly if ``c >= cost + cost' - b``, where ``cost`` weighs a removed shingle by ``1 - share`` and an added one by
+    ``share = likeness / (1 + likeness)``, and ``b = m * (1 - 2 * share)``. Sets of a cost up to ``b`` are alike to the representative (``core``). Any two that
+    have no difference in common and are alike are both of the core; a set outside must have ``need`` differences in common with its
+    partner, since those weigh ``share`` each in the partner's cost too.
+    """
+    share = likeness / (1 + likeness)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, 4_000_000):
+            core, need, removed, added = [], [], [], []
+            for own, rep in zip(raw_texts(batch["own"]), raw_texts(batch["rep_own"])):
+                x, r = np.frombuffer(own, np.int64), np.frombuffer(rep, np.int64)
+                removed.append(np.setdiff1d(r, x, assume_unique=True))
+                added.append(np.setdiff1d(x, r, assume_unique=True))
+                over = (1 - share) * len(removed[-1]) + share * len(added[-1]) - len(r) * (1 - 2 * share)
+                core.append(over <= 1e-9)
+                need.append(max(1, ceil(over / (1 - share) - 1e-6)))
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(core, pa.bool_()), pa.array(need, pa.int64()), pa.array(removed, longs), pa.array(added, longs)]
+            kept = ["part", "id", "known", "rep"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns], [*kept, "core", "need", "removed", "added"])
+
+    schema = "part long, id long, known long, rep long, core boolean, need long, removed array<long>, added array<long>"
+    return sets.select("part", "id", "known", "rep", "own", "rep_own").mapInArrow(run, schema)
+
+
+def pairs_with_differences(against: DataFrame) -> DataFrame:
+    """``a, b``: sets outside the representative's group with members of it that can be alike; no alike pair is missing.
+
+    ``against`` is what :func:`differences` gives; ``rep`` also names the representative's group. A set outside meets members by the
+    differences that fewest of them have: if ``need`` of ``n`` must be in common, one is among the first ``n - need + 1``.
+    """
+    each = F.explode(F.concat(*[F.transform(c, lambda v: F.struct(v.alias("shingle"), F.lit(c).alias("kind"))) for c in ("removed", "added")]))
+    inside = F.col("core") | (F.col("known") == F.col("rep"))
+    rows = against.select("part", "id", "need", inside.alias("inside"), (F.size("removed") + F.size("added")).alias("size"), each.alias("d"))
+    rows = rows.select("part", "id", "need", "inside", "size", "d.*")
+    keys = ["part", "shingle", "kind"]
+    members = rows.filter("inside").select(*keys, F.col("id").alias("member"))
+    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    outside = rows.filter("not inside").join(counts, keys, "left")
+    at = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "shingle", "kind"))
+    first = outside.withColumn("at", at).filter((F.col("at") <= F.col("size") - F.col("need") + 1) & F.col("n").isNotNull())
+    met = first.select(*keys, "id").join(members, keys)
+    return met.select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct()
+
+
 def confirmed_links(
     classes: DataFrame,
     texts: DataFrame,
@@ -459,6 +555,7 @@ def confirmed_links(
     rounds: int = 10,
     shares: int = 2,
     turns: int = 1,
+    walks: int = 1,
 ) -> DataFrame:
     """``a, b``: links between classes whose sets of shingles have a Jaccard likeness of ``likeness`` or more.
 
@@ -466,8 +563,10 @@ def confirmed_links(
     that is alone then is done, and the sets of the others are made once. In each of the ``turns``, over one of the ``shares`` of the
     masks and in another order of the bits, neighbours of different groups are compared by their sets: a number of pairs
     that grows with the classes, not with the square of a group, and that joins a large group step by step. Parts that the
-    prints connect and that are not one group by then are searched for all other links by :func:`rare_shingle_pairs`,
-    which finds them exactly. No refused pair is compared again.
+    prints connect and that are not one group by then are searched by rare shingles: ``walks`` times neighbours that share one are compared, as
+    many as there are rare shingles at most. What is still apart then is searched exactly: from the largest group of a part to the others by
+    :func:`pairs_with_differences`, which does not pair a straggler with every member, and among the others by :func:`pairs_that_meet`. No
+    refused pair is compared again.
     """
     spark = classes.sparkSession
     names = [c for c in classes.columns if c != "id"]
@@ -476,26 +575,44 @@ def confirmed_links(
     both = loose.select("node", "root").unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
     crowd = stage(classes.join(both.select(F.col("node").alias("id"), F.col("root").alias("part")), "id"), "crowd")
     sets = stage(shingle_sets(texts.join(crowd.select("id"), "id", "left_semi"), words), "sets")
-    tried = links = spark.createDataFrame([], "a long, b long")
+    tried = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
-    for turn in range(turns + 1):
-        grouped = crowd.join(roots, F.col("id") == F.col("node"), "left").withColumn("known", F.coalesce("root", "id"))
-        if turn < turns:
-            entries = _cells(grouped.select("id", *names, "known"), chosen[turn::shares], turn)
-            found = entries.mapInArrow(_following(distance, names), "a long, b long").distinct()
-        else:
-            # the smallest and the largest group of a part tell whether it has one only
-            parts = grouped.groupBy("part").agg(F.min("known").alias("least"), F.max("known").alias("most")).filter("least <> most")
-            rest = stage(grouped.select("id", "part", "known").join(parts.select("part"), "part", "left_semi"), "rest")
-            found = rare_shingle_pairs(sets.join(rest, "id"), likeness)
+
+    def grouped() -> DataFrame:
+        return crowd.join(roots, F.col("id") == F.col("node"), "left").withColumn("known", F.coalesce("root", "id"))
+
+    def unsettled() -> DataFrame:
+        """Classes of the parts that hold more than one group: their smallest and largest group tell."""
+        known = grouped().select("id", "part", "known")
+        parts = known.groupBy("part").agg(F.min("known").alias("least"), F.max("known").alias("most")).filter("least <> most")
+        return stage(known.join(parts.select("part"), "part", "left_semi"), "rest")
+
+    def with_links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that were compared, and the links of all groups: each group is a star, so that only new links make paths longer."""
         pairs = stage(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         confirmed = stage(alike(pairs, sets, likeness), "confirmed")
-        # what the groups stand for already is a star, so that only new links make paths longer
-        links = confirmed.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        if turn < turns:
-            tried = tried.unionByName(pairs)
-            roots = component_roots(links, "a", "b")
-    return links
+        return pairs, confirmed.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+    for turn in range(turns):
+        entries = _cells(grouped().select("id", *names, "known"), chosen[turn::shares], turn)
+        pairs, links = with_links(entries.mapInArrow(_following(distance, names), "a long, b long").distinct())
+        tried, roots = tried.unionByName(pairs), component_roots(links, "a", "b")
+    rest = unsettled()
+    rare = stage(rare_shingles(sets.join(rest.select("id", "part"), "id"), likeness), "rare")
+    for walk in range(walks):
+        among = rare.join(rest.select("id", "known"), "id")
+        pairs, links = with_links(rare_shingle_neighbours(among, likeness, shuffle_tasks(classes), walk))
+        tried, roots = tried.unionByName(pairs), component_roots(links, "a", "b")
+        rest = unsettled()
+    # the largest group of a part is named by its smallest member, which stands for the part
+    largest = rest.groupBy("part", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("part")
+    reps = largest.agg(F.max(F.struct("n", F.negative("known").alias("low"))).alias("top")).select("part", F.negative("top.low").alias("rep"))
+    reps = reps.join(sets.select(F.col("id").alias("rep"), F.col("own").alias("rep_own")), "rep")
+    against = stage(differences(rest.join(sets, "id").join(reps, "part"), likeness), "against")
+    outside = against.filter((F.col("known") != F.col("rep")) & ~F.col("core")).select("id", "known")
+    found = pairs_with_differences(against).unionByName(pairs_that_meet(rare.join(outside, "id"), likeness)).distinct()
+    star = against.filter("core and known <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    return with_links(found)[1].unionByName(star)
 
 
 def near_groups(
