@@ -259,7 +259,7 @@ def test_differences_lose_no_alike_pair(spark):
         assert sorted(found[i].removed) == sorted(sets[0] - own) and sorted(found[i].added) == sorted(own - sets[0])
         assert found[i].core == are_alike(i, 0)
     inside = {i for i in sets if known[i] == 0 or found[i].core}
-    got = {(r.a, r.b) for r in simhash.pairs_with_differences(against).collect()}
+    got = {(r.a, r.b) for r in simhash.pairs_with_differences(against, 0.8).collect()}
     possible = {(min(a, b), max(a, b)) for a in inside for b in set(sets) - inside}
     want = {(a, b) for a, b in possible if are_alike(a, b)}
     assert len(want) > 50 and want <= got <= possible and len(got) < len(possible)

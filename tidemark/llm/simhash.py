@@ -495,12 +495,13 @@ def pairs_that_meet(rare: DataFrame, likeness: float) -> DataFrame:
 
 
 def differences(sets: DataFrame, likeness: float) -> DataFrame:
-    """``part, id, known, rep, core, need, removed, added``: each set against its part's representative.
+    """``part, id, known, rep, core, over, need, removed, added``: each set against its part's representative.
 
     ``sets`` holds ``part, id, known, own, rep, rep_own``. ``removed`` and ``added`` are the shingles that only the representative or only the set has. Two sets
     with ``removed`` and ``added`` in common ``c`` times share ``m - removed - removed' + c`` shingles, ``m`` the representative's number. So
     they are alike exactly if ``c >= cost + cost' - b``, where ``cost`` weighs a removed shingle by ``1 - share`` and an added one by
-    ``share = likeness / (1 + likeness)``, and ``b = m * (1 - 2 * share)``. Sets of a cost up to ``b`` are alike to the representative (``core``). Any two that
+    ``share = likeness / (1 + likeness)``, and ``b = m * (1 - 2 * share)``. Sets of a cost up to ``b`` are alike to the representative (``core``);
+    ``over`` is what the cost has above ``b``. Any two that
     have no difference in common and are alike are both of the core; a set outside must have ``need`` differences in common with its
     partner, since those weigh ``share`` each in the partner's cost too.
     """
@@ -508,41 +509,50 @@ def differences(sets: DataFrame, likeness: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 4_000_000):
-            core, need, removed, added = [], [], [], []
+            core, over, need, removed, added = [], [], [], [], []
             for own, rep in zip(raw_texts(batch["own"]), raw_texts(batch["rep_own"])):
                 x, r = np.frombuffer(own, np.int64), np.frombuffer(rep, np.int64)
                 removed.append(np.setdiff1d(r, x, assume_unique=True))
                 added.append(np.setdiff1d(x, r, assume_unique=True))
-                over = (1 - share) * len(removed[-1]) + share * len(added[-1]) - len(r) * (1 - 2 * share)
-                core.append(over <= 1e-9)
-                need.append(max(1, ceil(over / (1 - share) - 1e-6)))
+                over.append((1 - share) * len(removed[-1]) + share * len(added[-1]) - len(r) * (1 - 2 * share))
+                core.append(over[-1] <= 1e-9)
+                need.append(max(1, ceil(over[-1] / (1 - share) - 1e-6)))
             longs = pa.list_(pa.int64())
-            columns = [pa.array(core, pa.bool_()), pa.array(need, pa.int64()), pa.array(removed, longs), pa.array(added, longs)]
+            columns = [pa.array(core, pa.bool_()), pa.array(over, pa.float64()), pa.array(need, pa.int64()), pa.array(removed, longs), pa.array(added, longs)]
             kept = ["part", "id", "known", "rep"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns], [*kept, "core", "need", "removed", "added"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns], [*kept, "core", "over", "need", "removed", "added"])
 
-    schema = "part long, id long, known long, rep long, core boolean, need long, removed array<long>, added array<long>"
+    schema = "part long, id long, known long, rep long, core boolean, over double, need long, removed array<long>, added array<long>"
     return sets.select("part", "id", "known", "rep", "own", "rep_own").mapInArrow(run, schema)
 
 
-def pairs_with_differences(against: DataFrame) -> DataFrame:
+def pairs_with_differences(against: DataFrame, likeness: float) -> DataFrame:
     """``a, b``: sets outside the representative's group with members of it that can be alike; no alike pair is missing.
 
     ``against`` is what :func:`differences` gives; ``rep`` also names the representative's group. A set outside meets members by the
-    differences that fewest of them have: if ``need`` of ``n`` must be in common, one is among the first ``n - need + 1``.
+    differences that fewest of them have: if ``need`` of ``n`` must be in common, one is among the first ``n - need + 1``. No
+    member has more differences in common than differences of each kind, so sets that need more than any member has meet none, and
+    a pair must be able to have as many as its two costs ask for.
     """
+    share = likeness / (1 + likeness)
     each = F.explode(F.concat(*[F.transform(c, lambda v: F.struct(v.alias("shingle"), F.lit(c).alias("kind"))) for c in ("removed", "added")]))
     inside = F.col("core") | (F.col("known") == F.col("rep"))
-    rows = against.select("part", "id", "need", inside.alias("inside"), (F.size("removed") + F.size("added")).alias("size"), each.alias("d"))
-    rows = rows.select("part", "id", "need", "inside", "size", "d.*")
-    keys = ["part", "shingle", "kind"]
-    members = rows.filter("inside").select(*keys, F.col("id").alias("member"))
+    sized = against.select("*", inside.alias("inside"), F.size("removed").alias("less"), F.size("added").alias("more"))
+    keys, sizes = ["part", "shingle", "kind"], ["less", "more"]
+    members = sized.filter("inside").select("part", F.col("id").alias("member"), *sizes, each.alias("d")).select("part", "member", *sizes, "d.*")
     counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    outside = rows.filter("not inside").join(counts, keys, "left")
+    widest = sized.filter("inside").groupBy("part").agg(F.max(F.col("less") + F.col("more")).alias("widest"))
+    near = sized.filter("not inside").join(widest, "part").filter("need <= widest")
+    outside = near.select("part", "id", "over", "need", *sizes, each.alias("d")).select("part", "id", "over", "need", *sizes, "d.*")
     at = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "shingle", "kind"))
-    first = outside.withColumn("at", at).filter((F.col("at") <= F.col("size") - F.col("need") + 1) & F.col("n").isNotNull())
-    met = first.select(*keys, "id").join(members, keys)
-    return met.select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct()
+    placed = outside.join(counts, keys, "left").withColumn("at", at)
+    first = placed.filter((F.col("at") <= F.col("less") + F.col("more") - F.col("need") + 1) & F.col("n").isNotNull())
+    x, y = first.alias("x"), members.alias("y")
+    left = F.col("x.less") + F.col("x.more") - F.col("x.at") + 1
+    most = F.least(left, F.least("x.less", "y.less") + F.least("x.more", "y.more"))
+    asked = F.col("x.over") + (1 - share) * F.col("y.less") + share * F.col("y.more")
+    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [most + 1e-6 >= asked])
+    return met.select(F.least("x.id", "y.member").alias("a"), F.greatest("x.id", "y.member").alias("b")).distinct()
 
 
 def confirmed_links(
@@ -610,7 +620,7 @@ def confirmed_links(
     reps = reps.join(sets.select(F.col("id").alias("rep"), F.col("own").alias("rep_own")), "rep")
     against = stage(differences(rest.join(sets, "id").join(reps, "part"), likeness), "against")
     outside = against.filter((F.col("known") != F.col("rep")) & ~F.col("core")).select("id", "known")
-    found = pairs_with_differences(against).unionByName(pairs_that_meet(rare.join(outside, "id"), likeness)).distinct()
+    found = pairs_with_differences(against, likeness).unionByName(pairs_that_meet(rare.join(outside, "id"), likeness)).distinct()
     star = against.filter("core and known <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     return with_links(found)[1].unionByName(star)
 
