@@ -11,7 +11,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, langid, licenses, mixing, pieces, secret_scan, toxicity
+from tidemark.llm import html_text, langid, licenses, mixing, pieces, queries, secret_scan, toxicity
 from tidemark.llm.queries import PIECE_MODEL
 from tidemark.llm.tables import fold
 
@@ -94,6 +94,23 @@ def test_base_columns(docs, spark):
     assert some > 1
 
 
+def test_query_takes_the_phrases_of_its_contract(spark, tmp_path):
+    """A licence named without "under" is no base place, and a place starts at that word."""
+    texts = [
+        "Under the MIT License, under the mit-license", "the MIT license", "see under\u00e9 the mit license", "x under THE mit license.",
+        "under the mit license under the mit license", "under cc by nc 4; Apache License, Version 2.0", None, "", " \n\u00c4 b",
+    ]
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op5_licenses(spark, str(tmp_path)).collect():
+        words = line(texts[r.doc_id] or "")[0]
+        places = [(i, x) for p, x in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        starts, found = [i for i, _ in places], sorted({x for _, x in places})
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(found)), texts[r.doc_id]
+        assert (r.first_word, r.last_word) == (min(starts, default=None), max(starts, default=None)), texts[r.doc_id]
+        assert set(found) <= set(filter(None, r.labels.split(",")))
+
+
 @pytest.mark.parametrize(
     "text, labels",
     [

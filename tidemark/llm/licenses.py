@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .tables import pieces_of, raw_texts
 
-#: Phrases whose places are counted, and their labels.
+#: Phrases whose places are counted unless others are given, and their labels.
 BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: Bytes of words stay (A-Z in lower case), all others become spaces.
@@ -223,10 +223,10 @@ def detect(line: bytes) -> list[Detection]:
     return sorted(kept, key=lambda d: (d.first, d.last, d.label))
 
 
-def base_places(line: bytes) -> list[tuple[int, str]]:
+def base_places(line: bytes, phrases: Mapping[str, str] = BASE) -> list[tuple[int, str]]:
     """Word numbers at which a base phrase starts, with its label."""
     places = []
-    for phrase, label in BASE.items():
+    for phrase, label in phrases.items():
         wanted, words = f" {phrase} ".encode(), _Words(line)
         at = line.find(wanted)
         while at >= 0:
@@ -235,9 +235,13 @@ def base_places(line: bytes) -> list[tuple[int, str]]:
     return places
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", phrases: Mapping[str, str] = BASE
+) -> DataFrame:
     """One row per document: word count, base places and labels, all labels, score, detections.
 
+    ``phrases`` are the base phrases, words between single spaces in lower case, with their labels.
+
     Words are what is left of the whole text, A-Z in lower case, when ASCII other than letters and digits
     separates; a null text has none. ``labels`` adds what the rules find; ``score`` is the best
     confidence, 0.7 at least where a base phrase stands and 0 where nothing is found. ``detections`` lists
@@ -252,7 +256,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 words = raw.translate(_WORDS).split(b" ") if raw else []
                 line = b" " + b" ".join(filter(None, words)) + b" "
                 n_words = line.count(b" ") - 1 if len(line) > 2 else 0
-                places = base_places(line)
+                places = base_places(line, phrases)
                 found = detect(line) if n_words else []
                 base = {label for _, label in places}
                 score = max([d.confidence for d in found] + [0.7] * bool(places), default=0.0)

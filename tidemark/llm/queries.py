@@ -13,6 +13,8 @@ from . import divergence, html_text, langid, licenses, merkle, mixing, packing,
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: a public byte-level tokenizer
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
+#: fixed values of the licence query: its base phrases and their labels
+LICENSE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +40,7 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(_documents(spark, folder).select("doc_id", "text"))
+    return licenses.scan(_documents(spark, folder).select("doc_id", "text"), phrases=LICENSE_PHRASES)
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
