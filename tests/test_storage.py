@@ -236,6 +236,20 @@ def test_differences_as_multisets(spark):
         compare.frame_parity(left, right.drop("v"), ["k"])
 
 
+def test_parity_spells_only_rows_that_differ(spark):
+    """Equal rows are gone before a row becomes one row per column, and the counts are those of plain counting."""
+    rng = random.Random(3)
+    sides = [[(rng.randint(0, 3), rng.choice([None, "a", "b"]), rng.choice([None, 0.0, -0.0, 1.0])) for _ in range(n)] for n in (90, 70)]
+    left, right = (spark.createDataFrame(rows, "k long, t string, v double") for rows in sides)
+    out = compare.frame_parity(left, right, ["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.partition("Generate")[2]
+    views = {"k": lambda r: r[0], "t": lambda r: r[:2], "v": lambda r: (r[0], r[2]), "*": lambda r: r}
+    for r in out.collect():
+        a, b = (Counter(views[r.column](x) for x in rows) for rows in sides)
+        assert (r.only_left, r.only_right) == ((a - b).total(), (b - a).total()), r.column
+
+
 # --- sparse correlation, portable hashing ----------------------------------------------------------
 
 
