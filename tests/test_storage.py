@@ -64,6 +64,15 @@ def test_layout_and_reopened_tables(spark, tmp_path):
     assert clustered.read_layout(spark, str(tmp_path / "nothing")) == {}
 
 
+def test_clustering_reads_its_rows_once(spark, tmp_path):
+    """Rows are counted where they were written, not by a second pass over what makes them."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i % 50, i) for i in range(600)], 3).map(lambda r: seen.add(1) or r)
+    df = spark.createDataFrame(rows, "SUBJECT_ID long, n long")
+    assert clustered.write_clustered(df, str(tmp_path / "once"), "SUBJECT_ID", 4) == (4, 12, 600)
+    assert seen.value == 600
+
+
 def test_hot_entity_is_left_to_adaptive_execution(spark, tmp_path):
     df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("SUBJECT_ID"), "id")
     assert clustered.write_clustered(df, str(tmp_path / "hot"), "SUBJECT_ID", 64)[0] == 0

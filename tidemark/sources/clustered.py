@@ -31,22 +31,22 @@ def _catalog_name() -> str:
 def write_clustered(df: DataFrame, path: str, key: str, buckets: int, hot_share: float = 4.0) -> tuple[int, int, int]:
     """Write ``df`` with all rows of an entity in one of ``buckets`` sorted files; the bucket count, largest entity and row count.
 
-    The rows are shuffled once, here, and not again by what reads them per entity. A bucket is read by one task, so
-    an entity of more rows than ``hot_share`` average buckets would be one slow task for ever: such a table is written
-    without buckets (0 is returned), and adaptive execution splits that entity when it is read.
-    Null keys are rows like others, but are not counted as an entity: no join meets them.
+    The rows are read and shuffled once, here, and not again by what reads them per entity; they are counted where they
+    were written. A bucket is read by one task, so an entity of more rows than ``hot_share`` average buckets would be one
+    slow task for ever: such a table is written again without buckets (0 is returned), and adaptive execution splits that
+    entity when it is read. Null keys are rows like others, but are not counted as an entity: no join meets them.
     """
     spark = df.sparkSession
-    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    largest, rows = sizes.agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    if largest > hot_share * max(rows / buckets, 1) and largest > 10_000:
-        df.write.mode("overwrite").parquet(path)
-        return 0, largest, rows
     name = _catalog_name()
     writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
     writer.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    sizes = spark.table(name).filter(F.col(key).isNotNull()).groupBy(key).count()
+    largest, rows = sizes.agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
     # only the entry goes: the files of a table with a path of its own stay
     spark.sql(f"DROP TABLE {name}")
+    if largest > hot_share * max(rows / buckets, 1) and largest > 10_000:
+        df.write.mode("overwrite").parquet(path)
+        return 0, largest, rows
     return buckets, largest, rows
 
 
