@@ -9,7 +9,7 @@ from tidemark import schemas
 from tidemark.__main__ import main
 from tidemark.catalog.queries import QUERIES, Tables
 from tidemark.config import StudyParams
-from tidemark.operators import model, vectors
+from tidemark.operators import features, model, vectors
 from tidemark.plans import etl, modelling, raw
 from tidemark.plans.scaled import ScaledFeatures
 from tidemark.plans.records import restricted
@@ -173,6 +173,29 @@ def test_staged_data_goes_with_its_block(spark, study):
     assert not os.path.exists(scope.removeprefix("file:"))
 
 
+def test_windows_move_neither_codes_nor_twice(spark, study):
+    """The window plan shuffles diagnoses by admission only, without their codes, and windows are made once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = study.period_as()._jdf.queryExecution().executedPlan().toString()
+        dated = study.diagnoses._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ICD9" not in plan and "l_suppkey" not in plan
+    # lineitem and orders by order, and the admissions to meet them
+    assert dated.count("Exchange hashpartitioning") == 3, dated
+    tables = Tables(spark, SMALL)
+    assert tables.period is tables.period and len(tables.period.inputFiles()) > 0
+
+
+def test_clipped_events_are_made_once(spark, study):
+    """What asks which features training has does not compute the events a second time."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i % 9, f"F{i % 4}", 1.0) for i in range(90)], 3).map(lambda r: seen.add(1) or r)
+    events = spark.createDataFrame(rows, "entity_id long, feature string, value double")
+    assert features.train_features_only(events, F.col("entity_id") < 5).count() == 90 and seen.value == 90
+
+
 MODELS = {
     "rf_scores", "lr_scores", "model_roundtrip", "model_score_rows", "feature_importance", "importance_check",
     "select_and_retrain", "select_by_mean_importance",

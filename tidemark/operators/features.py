@@ -82,7 +82,8 @@ def popular_features_by_train_rows(events: DataFrame, low_thresh: int, train: Da
 
 
 def train_features_only(events: DataFrame, train: DataFrame | Column) -> DataFrame:
-    """Event rows whose feature occurs among training entities."""
+    """Event rows whose feature occurs among training entities; the rows are written once and read twice."""
+    events = stage(events, "events")
     seen = _support(_pairs(events, []), train).filter(F.col("n_train_entities") > 0).select(FEATURE)
     # written, so the planner knows how short the list is; adaptive execution splits a hot feature if it is not
     return events.join(stage(seen, "seen_features"), FEATURE, "left_semi")

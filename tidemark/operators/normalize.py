@@ -66,6 +66,13 @@ def diagnoses(diagnoses: DataFrame, admissions: DataFrame, prefix: str = "ICD9_"
     return dated.select(_event(day(dated, "ADMITTIME"), _named(prefix, F.col("ICD9_CODE")), F.lit(1.0)))
 
 
+def diagnosis_days(diagnoses: DataFrame, admissions: DataFrame) -> DataFrame:
+    """``(entity_id, date)`` of the coded diagnoses, once per admission: what dates a history, without the codes."""
+    coded = diagnoses.select("SUBJECT_ID", "HADM_ID").distinct()
+    dated = coded.join(admissions.select("SUBJECT_ID", "HADM_ID", "ADMITTIME"), ["SUBJECT_ID", "HADM_ID"])
+    return dated.select(F.col("SUBJECT_ID").cast("bigint").alias(ENTITY), day(dated, "ADMITTIME").alias(DATE))
+
+
 def join_admission_date(diagnoses: DataFrame, admissions: DataFrame) -> DataFrame:
     """Diagnoses with the admission date, matched on the admission alone."""
     return diagnoses.join(admissions.select("HADM_ID", "ADMITTIME"), "HADM_ID")

@@ -78,8 +78,10 @@ class Study:
         return self.period_as()
 
     def period_as(self, **options) -> DataFrame:
+        # windows need the days of diagnoses only, so their codes do not move for them
+        days = normalize.diagnosis_days(self.records.diagnoses, self.records.admissions)
         return period.train_period(
-            [self.diagnoses, self.labs, self.meds],
+            [days, self.labs, self.meds],
             self.outcomes,
             self.params.observation_days,
             self.params.prediction_days,

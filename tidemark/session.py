@@ -19,6 +19,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot partition even where that costs one more shuffle above the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows that lie by one of a join's keys stay there: diagnoses by admission are not dealt again by admission and entity
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
