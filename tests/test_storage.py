@@ -109,6 +109,14 @@ def test_quarantine(spark, tmp_path):
     }
 
 
+def test_a_word_is_hashed_once_a_call(monkeypatch):
+    asked, plain = [], vectors.HashingEncoder._cell
+    monkeypatch.setattr(vectors.HashingEncoder, "_cell", lambda self, word: asked.append(word) or plain(self, word))
+    encoded = vectors.HashingEncoder(8)(["a b a", "b c", "", None])
+    assert sorted(asked) == ["a", "b", "c"]
+    assert (encoded == np.vstack([vectors.HashingEncoder(8)([t])[0] for t in ("a b a", "b c", "", None)])).all()
+
+
 # --- embedding store -------------------------------------------------------------------------------
 
 
@@ -127,6 +135,17 @@ def held(store):
     return sorted((r.entity_id, r.encoder, r.vec[0]) for r in store.read().collect())
 
 
+def test_texts_of_a_repeated_arrival_do_not_move(spark, tmp_path, monkeypatch):
+    from tidemark.sources import embedding_store
+
+    written, plain = [], embedding_store.stage
+    monkeypatch.setattr(embedding_store, "stage", lambda df, name, path=None: written.append(df.columns) or plain(df, name, path))
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    texts = [(1, "a"), (None, "a"), (None, "a"), (2, None)]
+    assert store.update(docs_of(spark, texts), Counting, "e") == 3 and store.update(docs_of(spark, texts), Counting, "e") == 0
+    assert store.version() == 1 and not any("text" in columns for columns in written)
+
+
 def test_store_adds_what_is_new(spark, tmp_path):
     store = EmbeddingStore(spark, str(tmp_path / "store"))
     assert store.read().count() == 0 and store.version() == 0
@@ -262,6 +281,16 @@ def test_parity_spells_only_rows_that_differ(spark):
 # --- sparse correlation, portable hashing ----------------------------------------------------------
 
 
+def test_texts_are_read_once_for_their_cells(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i, ["a", "b", f"w{i % 7}"]) for i in range(40)], 3).map(lambda r: seen.add(1) or r)
+    docs = spark.createDataFrame(rows, "entity_id long, words array<string>")
+    cells = tfidf.portable_hashing_tfidf(docs, buckets=10).collect()
+    assert sum(r.tf for r in cells) == 120
+    # once for the cells and once for the number of documents
+    assert seen.value == 80
+
+
 def test_correlation_equals_numpy(spark):
     rng = random.Random(5)
     names = [f"f{i:03d}" for i in range(70)]

@@ -121,7 +121,12 @@ class EmbeddingStore:
         whose text did not is not encoded. Keys are looked up before anything is encoded.
         """
         keyed = docs.select(ENTITY, F.col(text).alias("text"), text_digest(text).alias("digest"), F.lit(encoder).alias("encoder"))
-        todo = stage(self._missing(keyed.dropDuplicates(KEY), self.read()), "todo")
+        lacking = stage(self._missing(keyed.select(*KEY).distinct(), self.read()), "lacking")
+        if lacking.isEmpty():
+            return 0
+        wanted = lacking.select(*[F.col(c).alias(f"_{c}") for c in KEY])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+        todo = keyed.join(wanted, same, "left_semi").dropDuplicates(KEY)
         made = embed_text(todo.select(F.struct(ENTITY, "digest", "encoder").alias(ENTITY), "text"), make_encoder, "text", tasks)
         return self.append(made.select(f"{ENTITY}.*", "vec"))
 
