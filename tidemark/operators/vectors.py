@@ -39,12 +39,15 @@ class HashingEncoder:
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width))
+        cells: dict[str, int] = {}  # of this call's words, each hashed once
         for row, text in enumerate(texts):
             words = re.findall(r"\w+", (text or "").lower(), flags=re.ASCII)
             if words:
                 counts = np.zeros(2 * self.width)
                 for word, times in Counter(words).items():
-                    counts[self._cell(word)] += times
+                    if word not in cells:
+                        cells[word] = self._cell(word)
+                    counts[cells[word]] += times
                 out[row] = (counts[: self.width] - counts[self.width :]) / len(words)
         return out
 
