@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ENTITY, FEATURE, VALUE
+from ..session import stage
 
 
 def tokens(docs: DataFrame, text: str = "clean_text", stop_words: Iterable[str] = ()) -> DataFrame:
@@ -69,10 +70,12 @@ def portable_hashing_tfidf(docs: DataFrame, words: str = "words", buckets: int =
 
     ``weight = tf * ln((n + 1) / (df + 1))``, 0 where fewer than ``min_doc_freq`` documents have the bucket. The form of
     :func:`hashing_tfidf` with a hash that does not depend on the engine. A document is a row of ``docs``, one per entity. Counts are
-    added up on each task before the shuffle, and document frequencies are at most ``buckets`` rows.
+    added up on each task before the shuffle and written, so that texts are split once; document frequencies are at most
+    ``buckets`` rows.
     """
     terms = docs.select(ENTITY, F.explode(words).alias("term"))
     counts = terms.groupBy(ENTITY, portable_bucket("term", buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
+    counts = stage(counts, "bucket_counts")
     frequency = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.when(F.col("df") >= min_doc_freq, F.log((n_docs + 1) / (F.col("df") + 1))).otherwise(0.0)
