@@ -6,6 +6,9 @@ adds the token ids. Counts, samples and statistics are those of the stage's own
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,20 @@ from tidemark.llm.queries import PIECE_MODEL
 from tidemark.session import fresh_path, stage, staging
 
 
+@contextmanager
+def short_plan_texts(spark: SparkSession) -> Iterator[None]:
+    """Spark's driver keeps the text of every plan that a job ran by, in each form it had; here those are many and long."""
+    wanted = {"spark.sql.maxPlanStringLength": "2000", "spark.sql.ui.explainMode": "simple"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labelled rows outside the held-out fold; documents that are ``und`` go."""
     return langid.accepted_documents(docs, langid.fit(docs))
@@ -30,9 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Prints propose the pairs, with a limit and masks that miss under 1 % of those at 0.8; the shingle sets decide.
     """
     distance = simhash.bits_apart(0.8, 128, deviations=3)
-    return simhash.one_of_each_group(
-        docs, words=5, width=2, repeats=False, distance=distance, likeness=0.8, bits=16, rounds=10
-    )
+    with short_plan_texts(spark):
+        return simhash.one_of_each_group(
+            docs, words=5, width=2, repeats=False, distance=distance, likeness=0.8, bits=16, rounds=10
+        )
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

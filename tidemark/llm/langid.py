@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +137,12 @@ def training_rows(docs: DataFrame, most_rows: int, id_column: str, text_column:
     return few.filter(F.col("_rank") <= each).select("doc_id", "text", "lang")
 
 
+def _float_rows(column: pa.BinaryArray) -> np.ndarray:
+    """Binary values of one length as rows of a matrix over the same memory."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(column), -1)
+
+
 def fit(
     docs: DataFrame,
     most_rows: int = 3000,
@@ -160,16 +167,17 @@ def fit(
             )
 
     sample = training_rows(docs, most_rows, id_column, text_column, lang_column)
-    rows = sample.mapInArrow(run, "doc_id long, lang string, features binary").toArrow().sort_by(
-        [("lang", "ascending"), ("doc_id", "ascending")]
-    )
-    names = rows["lang"].to_pylist()
+    rows = sample.mapInArrow(run, "doc_id long, lang string, features binary").toArrow()
+    order = pc.sort_indices(rows, sort_keys=[("lang", "ascending"), ("doc_id", "ascending")])
+    names = rows["lang"].take(order).to_pylist()
     languages = sorted(set(names))
     code = codebook(len(languages))
     if not languages:
         nothing = np.zeros((1 << _BITS, 1))
         return LanguageModel([], np.zeros((0, 1)), nothing, np.zeros(1), np.ones(1))
-    x = np.frombuffer(b"".join(rows["features"].to_pylist()), np.float32).reshape(len(names), -1)
+    x = np.concatenate([_float_rows(chunk) for chunk in rows["features"].chunks if len(chunk)])[order.to_numpy()]
+    del rows, sample
+    pa.default_memory_pool().release_unused()  # the driver holds the features once
     place = {lang: i for i, lang in enumerate(languages)}
     y = code[[place[n] for n in names]].astype(np.float32)
     return LanguageModel(languages, code, *_fit_bits(x, y))
