@@ -22,3 +22,19 @@ def test_features_share_their_memory():
     for part, wanted in ((column, rows), (column[1:3], rows[1:3])):
         got = langid._float_rows(part)
         assert (got == wanted).all() and not got.flags.owndata
+
+
+def test_language_model_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample's features stay off the driver; a model is what it gets."""
+    def on_driver(*_):
+        raise AssertionError("features reached the driver")
+
+    monkeypatch.setattr(langid, "_fit_bits", on_driver)
+    docs = spark.createDataFrame([(i, f"{'eins zwei drei' if i % 2 else 'one two three'} {i}", "de" if i % 2 else "en") for i in range(40)],
+                                 "doc_id long, text string, lang string")
+    assert langid.fit(docs).languages == ["de", "en"]
+
+
+def test_language_model_of_texts_without_letters(spark):
+    docs = spark.createDataFrame([(i, "12 34", "de") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.fit(docs).languages == []

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +91,9 @@ class LanguageModel:
 
 
 def _fit_bits(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 1e-4):
-    """Logistic classifiers of all bits at once, by accelerated gradient steps on centred features."""
+    """Logistic classifiers of all bits at once, by accelerated gradient steps on features centred in place."""
     mean = x.mean(axis=0)
-    x = x - mean
+    x -= mean
     probe = np.ones(x.shape[1], np.float32)
     for _ in range(10):
         probe = x.T @ (x @ probe)
@@ -116,8 +116,8 @@ def _fit_bits(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 1e-
     return weights * scale, (bias - mean @ weights) * scale, np.maximum(right - 0.5, 0.01) * 2
 
 
-def training_rows(docs: DataFrame, most_rows: int, id_column: str, text_column: str, lang_column: str) -> DataFrame:
-    """At most ``most_rows`` labelled rows outside the held-out fold, evenly over the languages."""
+def training_rows(docs: DataFrame, most_rows: int, id_column: str, text_column: str, lang_column: str) -> tuple[DataFrame, int]:
+    """At most ``most_rows`` labelled rows outside the held-out fold, evenly over the languages, and how many they can be."""
     labelled = docs.filter((fold(id_column) != 0) & F.col(lang_column).isNotNull()).select(
         F.col(id_column).cast("bigint").alias("doc_id"),
         F.col(text_column).alias("text"),
@@ -126,7 +126,7 @@ def training_rows(docs: DataFrame, most_rows: int, id_column: str, text_column:
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     each = max(1, most_rows // max(len(counts), 1))
     if not counts:
-        return labelled.limit(0)
+        return labelled.limit(0), 0
     # a hash below a language's share leaves a few more rows than wanted; only those are ranked
     share = F.element_at(
         F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * each / n + 20 / n))]), F.col("lang")
@@ -134,7 +134,8 @@ def training_rows(docs: DataFrame, most_rows: int, id_column: str, text_column:
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     few = labelled.filter(drawn < share).withColumn("_rank", F.row_number().over(ranked))
-    return few.filter(F.col("_rank") <= each).select("doc_id", "text", "lang")
+    room = sum(min(each, n) for n in counts.values())
+    return few.filter(F.col("_rank") <= each).select("doc_id", "text", "lang"), room
 
 
 def _float_rows(column: pa.BinaryArray) -> np.ndarray:
@@ -143,6 +144,28 @@ def _float_rows(column: pa.BinaryArray) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(column), -1)
 
 
+def _fill(batches: Iterator[pa.RecordBatch], room: int) -> tuple[list[str], np.ndarray]:
+    """Languages and features of a sorted sample; the features are held once, the batches one at a time."""
+    names: list[str] = []
+    x = np.empty((room, 1 << _BITS), np.float32)
+    for batch in batches:
+        if batch.num_rows:
+            x[len(names) : len(names) + batch.num_rows] = _float_rows(batch["features"])
+            names += batch["lang"].to_pylist()
+    return names, x[: len(names)]
+
+
+def _fit_rows(names: list[str], x: np.ndarray) -> LanguageModel:
+    """The model of features ``x``, which are centred in place."""
+    languages = sorted(set(names))
+    code = codebook(len(languages))
+    if not languages:
+        return LanguageModel([], np.zeros((0, 1)), np.zeros((1 << _BITS, 1)), np.zeros(1), np.ones(1))
+    place = {lang: i for i, lang in enumerate(languages)}
+    y = code[[place[n] for n in names]].astype(np.float32)
+    return LanguageModel(languages, code, *_fit_bits(x, y))
+
+
 def fit(
     docs: DataFrame,
     most_rows: int = 3000,
@@ -152,8 +175,9 @@ def fit(
 ) -> LanguageModel:
     """Fit on a bounded, hash-drawn sample of labelled rows outside the held-out fold.
 
-    ``most_rows`` bounds the sample and with it what reaches the driver: hashed features of the sample's whole
-    texts, 16 KB a row. Rows with a null language are not used; texts without a letter teach nothing.
+    ``most_rows`` bounds the sample and with it what one task holds: hashed features of the sample's whole texts, 16 KB a
+    row. The classifiers are fitted there, so only the model reaches the driver. Rows with a null language are not
+    used; texts without a letter teach nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,21 +190,17 @@ def fit(
                 [rows["doc_id"], rows["lang"], pa.array(features, pa.binary())], ["doc_id", "lang", "features"]
             )
 
-    sample = training_rows(docs, most_rows, id_column, text_column, lang_column)
-    rows = sample.mapInArrow(run, "doc_id long, lang string, features binary").toArrow()
-    order = pc.sort_indices(rows, sort_keys=[("lang", "ascending"), ("doc_id", "ascending")])
-    names = rows["lang"].take(order).to_pylist()
-    languages = sorted(set(names))
-    code = codebook(len(languages))
-    if not languages:
-        nothing = np.zeros((1 << _BITS, 1))
-        return LanguageModel([], np.zeros((0, 1)), nothing, np.zeros(1), np.ones(1))
-    x = np.concatenate([_float_rows(chunk) for chunk in rows["features"].chunks if len(chunk)])[order.to_numpy()]
-    del rows, sample
-    pa.default_memory_pool().release_unused()  # the driver holds the features once
-    place = {lang: i for i, lang in enumerate(languages)}
-    y = code[[place[n] for n in names]].astype(np.float32)
-    return LanguageModel(languages, code, *_fit_bits(x, y))
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, x = _fill(batches, room)
+        yield pa.record_batch([pa.array([pickle.dumps(_fit_rows(names, x))], pa.binary())], ["model"])
+
+    sample, room = training_rows(docs, most_rows, id_column, text_column, lang_column)
+    if not room:
+        return _fit_rows([], np.empty((0, 1 << _BITS), np.float32))
+    rows = sample.mapInArrow(run, "doc_id long, lang string, features binary")
+    in_order = rows.repartition(1).sortWithinPartitions("lang", "doc_id")
+    fitted = in_order.mapInArrow(train, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else _fit_rows([], np.empty((0, 1 << _BITS), np.float32))
 
 
 def predict(
