@@ -209,3 +209,18 @@ def test_plan_shape(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in ("embed_text", "embed_windows"):
         assert "EvalPython" not in plan and "MapInPandas" not in plan
+
+
+def test_scaled_families_equal_scaling_the_union(study):
+    """Scaling where popularity is counted gives the rows and training names of the general operators."""
+    plan = ScaledFeatures(study)
+    scaled = features.max_scale(plan.combined())
+    assert sorted(plan.scaled().collect()) == sorted(scaled.collect())
+    assert sorted(plan.training_codes().collect()) == sorted(features.codemap(scaled.filter(study.train)).collect())
+
+
+def test_lines_are_gathered_once(study):
+    """One gathering of cells makes the lines of both parts; the scaled rows are not written for it."""
+    plan = ScaledFeatures(study)
+    text = plan.lines(plan.training_codes())._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("collect_list(") == 1
