@@ -363,3 +363,19 @@ def test_microbiology_keeps_last(spark):
     data = [(1, 7, 9.0, "S", "2000-01-01"), (2, 7, 9.0, "R", "1999-01-01"), (3, 7, 9.0, "P", "2001-01-01"), (4, 8, None, "R", "2001-01-01")]
     df = spark.createDataFrame(data, "ROW_ID long, SUBJECT_ID long, AB_ITEMID double, INTERPRETATION string, CHARTTIME string")
     assert rows(normalize.microbiology(df)) == [(7, D(1999, 1, 1), "MB_9_R", 1.0)]
+
+
+def test_labels_of_entities_without_notes_stay_out(spark):
+    """What meets the texts is one row per entity with notes, however many entities are labelled."""
+    held = notes.with_labels(spark.range(40).selectExpr("id % 4 AS entity_id", "id AS row_id", "'a' AS text"), spark.range(3000).selectExpr("id AS entity_id", "1 AS label"))
+    assert held.count() == 40
+    paths = [f for f in held.select("label").inputFiles() if "noted_labels" in f]
+    assert paths and spark.read.parquet(*paths).count() == 4
+
+
+def test_days_are_grouped_before_the_union(spark):
+    """A union of tables that lie by one key is dealt as one task a part; grouped days are what it may bring together."""
+    tables = [spark.range(20).selectExpr("id AS entity_id", f"date_add(DATE'2000-01-01', {i}) AS date") for i in range(3)]
+    text = period.last_event_date(*tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Union") < text.index("Aggregate", text.index("Union"))
+    assert {str(r.last_event) for r in period.last_event_date(*tables).collect()} == {"2000-01-03"}

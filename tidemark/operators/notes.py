@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DATE, ENTITY
 from ..functions import text as tx
+from ..session import stage
 from ..skew import spread_join
 from .period import window_filter
 
@@ -72,5 +73,10 @@ def keyword_counts(notes: DataFrame, words: Sequence[str]) -> DataFrame:
 
 
 def with_labels(notes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Notes of known entities with the entity's label."""
-    return spread_join(notes, labels, ENTITY, spread_by=[DATE])
+    """Notes of known entities with the entity's label.
+
+    Labels of entities without notes are dropped and the others written first, so that the planner knows how few they are; if
+    they are many, adaptive execution splits an entity with many notes.
+    """
+    noted = labels.join(notes.select(ENTITY).distinct(), ENTITY, "left_semi")
+    return notes.join(stage(noted, "noted_labels"), ENTITY)

@@ -15,10 +15,19 @@ from .normalize import union_all
 
 def last_event_date(*event_tables: DataFrame) -> DataFrame:
     """Latest event day per entity over all tables."""
-    dates = union_all(*[t.select(ENTITY, DATE) for t in event_tables])
+    dates = union_all(*[_last_days(t) for t in event_tables])
     return dates.groupBy(ENTITY).agg(F.max(DATE).alias("last_event"))
 
 
+def _last_days(events: DataFrame) -> DataFrame:
+    """The last day per entity of one table.
+
+    Each table is grouped before the union: Spark deals a union of joins on the same key so that one task makes that part of every
+    join, and holds the sorts of all of them.
+    """
+    return events.groupBy(ENTITY).agg(F.max(DATE).alias(DATE))
+
+
 def train_period(
     event_tables: Sequence[DataFrame],
     outcomes: DataFrame,
@@ -31,13 +40,13 @@ def train_period(
 
     ``last`` lies ``prediction_days`` before the outcome, or on the last event when there is
     none. ``earliest`` is ``observation_days`` before ``last`` (``anchor="index"``) or before
-    the last event (``anchor="last_event"``). Events and outcomes are united and grouped once,
-    which replaces the outer join: one shuffle, pre-aggregated before it.
+    the last event (``anchor="last_event"``). Each table's last days and the outcomes are united and grouped,
+    which replaces the outer join: what is shuffled is pre-aggregated before.
     """
     if anchor not in ("index", "last_event"):
         raise ValueError(f"unknown anchor {anchor}")
     no_date = F.lit(None).cast("date")
-    events = [t.select(ENTITY, F.col(DATE).alias("event"), no_date.alias("outcome")) for t in event_tables]
+    events = [t.select(ENTITY, F.col(DATE).alias("event"), no_date.alias("outcome")) for t in map(_last_days, event_tables)]
     ends = outcomes.select(ENTITY, no_date.alias("event"), F.col("outcome_date").alias("outcome"))
     seen = union_all(*events, ends).groupBy(ENTITY).agg(F.max("event").alias("event"), F.max("outcome").alias("outcome"))
     if not keep_without_events:
