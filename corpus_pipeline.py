@@ -17,6 +17,10 @@ from tidemark.llm.queries import PIECE_MODEL
 from tidemark.session import fresh_path, stage, staging
 
 
+#: Of rows sent to Python at once.
+BATCH_BYTES = 4_000_000
+
+
 @contextmanager
 def short_plan_texts(spark: SparkSession) -> Iterator[None]:
     """Spark's driver keeps the text of every plan that a job ran by, in each form it had; here those are many and long."""
@@ -31,13 +35,23 @@ def short_plan_texts(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of 4 MB at most; both sides hold a batch and its results.
+
+    The setting stays: the frame that a stage returns runs after the stage's function has ended.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labelled rows outside the held-out fold; documents that are ``und`` go."""
+    small_batches(spark)
     return langid.accepted_documents(docs, langid.fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal after lower-casing A-Z the row with the largest id stays."""
+    small_batches(spark)
     return trie_dedup.distinct_texts(docs).select(docs.columns)
 
 
@@ -46,6 +60,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Prints propose the pairs, with a limit and masks that miss under 1 % of those at 0.8; the shingle sets decide.
     """
+    small_batches(spark)
     distance = simhash.bits_apart(0.8, 128, deviations=3)
     with short_plan_texts(spark):
         return simhash.one_of_each_group(
@@ -60,6 +75,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids; decoding gave every text back where ``round_trip`` is true."""
+    small_batches(spark)
     table = pieces.load(PIECE_MODEL)
     both = pieces.encode_and_decode(docs, table)
     added = ["token_ids", F.size("token_ids").alias("n_tokens"), pieces.same_text("text", "decoded").alias("round_trip")]

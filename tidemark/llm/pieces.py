@@ -18,7 +18,8 @@ from .tables import pieces_of
 _SPACE = "▁"
 _MEMO = 200_000  # chunks, and atoms, whose ids a worker remembers
 _PAIRS = 1 << 21  # places for verdicts on pairs of pieces
-_INDEX = 32_000  # atoms indexed together
+_INDEX = 8_000  # atoms indexed together
+_STEP = 500_000  # bytes of rows encoded together
 _WORD = 8  # bytes in one sort key
 
 
@@ -386,7 +387,7 @@ def _mapped(df: DataFrame, table: PieceTable, added: list[StructField], steps) -
     plain = df.drop(*[field.name for field in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, 2_000_000):
+        for batch in pieces_of(batches, _STEP):
             for step, *names in steps:
                 batch = step(batch, shared.value, *names)
             yield batch

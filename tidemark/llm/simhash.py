@@ -585,8 +585,9 @@ def confirmed_links(
     both = loose.select("node", "root").unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
     crowd = stage(classes.join(both.select(F.col("node").alias("id"), F.col("root").alias("part")), "id"), "crowd")
     sets = stage(shingle_sets(texts.join(crowd.select("id"), "id", "left_semi"), words), "sets")
-    tried = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
+    # none yet; a list given to Spark would start Python workers of another kind beside those of the stages
+    tried = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    roots = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
 
     def grouped() -> DataFrame:
         return crowd.join(roots, F.col("id") == F.col("node"), "left").withColumn("known", F.coalesce("root", "id"))
